@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framemill.operators.compaction import compact_frames
+from framemill.operators.shredding import SUBJECT, entries, flat_tables, shred
 from framemill.plans.registry import Registry
 from framemill.session import shared_dir, table
 
@@ -38,3 +39,32 @@ def p1_compacted_lines(spark: SparkSession, d: str) -> DataFrame:
 def _read_lines(spark: SparkSession, out: str) -> DataFrame:
     """The lines of compacted files; the JVM reads zstandard by the file's suffix."""
     return spark.read.text(out, pathGlobFilter="*.zst")
+
+
+_CHILDREN = {SUBJECT: "subject", f"{SUBJECT}.appearance_details[]": "appearance_details", f"{SUBJECT}.action[]": "action"}
+
+
+@R.query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects and the entries of their appearance_details and action, with positions."""
+    found = entries(shred(table(spark, d, "t2i_records"), paths=list(_CHILDREN)))
+    child = F.create_map(*[F.lit(x) for pair in _CHILDREN.items() for x in pair])[F.col("path")]
+    return found.select("record_id", "subject_pos", child.alias("child"), F.coalesce("child_pos", F.lit(0)).alias("child_pos"))
+
+
+@R.query()
+def p5_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of subjects."""
+    return flat_tables(table(spark, d, "t2i_records"))["subjects"]
+
+
+@R.query()
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of records."""
+    return flat_tables(table(spark, d, "t2i_records"))["records"]
+
+
+@R.query()
+def p5_actions(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of the subjects' actions."""
+    return flat_tables(table(spark, d, "t2i_records"))["action"]
