@@ -139,12 +139,17 @@ def compact_frames(frames: DataFrame, episodes: DataFrame, out_dir: str | None =
 
     n_rows, width = frames.count(), _line_width(frames, columns)
     n_files = max(1, -(-n_rows * width // target_bytes))
-    whole = frame_rows(frames, episodes, place | {"rec": F.struct(*columns)}).withColumn("row", F.lit(1))
-    marks = losers.select("ep", "fr", "chunk", "file", F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("holes"), F.lit(None).cast(whole.schema["rec"].dataType).alias("rec"), F.lit(0).alias("row"))
-    lines = whole.select(marks.columns).unionByName(marks.withColumn("at", F.col("at").cast(whole.schema["at"].dataType)))
-    lines = lines.repartitionByRange(n_files, "chunk", "file").sortWithinPartitions("chunk", "file", "ep", "fr", "row", "holes", "at")
+    # keys are read out of the record after the exchange, so that it moves each value once
+    whole = frame_rows(frames, episodes, {"rec": F.struct(*columns), "holes": holes, "row": F.lit(1)})
+    kinds = whole.schema["rec"].dataType
+    known = {"episode_index": F.col("ep"), "chunk_index": F.col("chunk"), "file_index": F.col("file")}
+    mark = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    marks = losers.select("ep", "fr", mark.alias("rec"), F.lit(0).alias("holes"), F.lit(0).alias("row"))
+    lines = whole.select("fr", "holes", "row", "rec").unionByName(marks.drop("ep"))
+    chunk, file, ep = F.col("rec.chunk_index"), F.col("rec.file_index"), F.col("rec.episode_index")
+    lines = lines.repartitionByRange(n_files, chunk, file).sortWithinPartitions(chunk, file, ep, "fr", "row", "holes", F.col("rec.ingested_at"))
     line = F.when(F.col("row") == 1, F.concat(F.to_json("rec", {"ignoreNullFields": "false"}), F.lit("\n"))).otherwise("")
-    lines = lines.select("chunk", "file", "ep", "fr", "row", line.alias("line"))
+    lines = lines.select(chunk.alias("chunk"), file.alias("file"), ep.alias("ep"), "fr", "row", line.alias("line"))
     return lines.mapInArrow(_LineWriter(out_dir), RESULT)
 
 
