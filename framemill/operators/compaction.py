@@ -103,8 +103,11 @@ def _arrow(ddl: str) -> pa.Schema:
 
 RESULT = "kind string, path string, ep bigint, fr bigint, n_lines bigint, n_bytes bigint, n_stored bigint, crc bigint"
 
+#: Nulls are written, and times to the microsecond, so that a line holds all of its row.
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
 #: Bytes of text compressed into one zstandard frame of an output file.
-_FRAME_BYTES = 1 << 20
+_FRAME_BYTES = 4 << 20
 
 
 def compact_frames(frames: DataFrame, episodes: DataFrame, out_dir: str | None = None, target_bytes: int = 64 << 20) -> DataFrame:
@@ -148,7 +151,7 @@ def compact_frames(frames: DataFrame, episodes: DataFrame, out_dir: str | None =
     lines = whole.select("fr", "holes", "row", "rec").unionByName(marks.drop("ep"))
     chunk, file, ep = F.col("rec.chunk_index"), F.col("rec.file_index"), F.col("rec.episode_index")
     lines = lines.repartitionByRange(n_files, chunk, file).sortWithinPartitions(chunk, file, ep, "fr", "row", "holes", F.col("rec.ingested_at"))
-    line = F.when(F.col("row") == 1, F.concat(F.to_json("rec", {"ignoreNullFields": "false"}), F.lit("\n"))).otherwise("")
+    line = F.when(F.col("row") == 1, F.concat(F.to_json("rec", _JSON), F.lit("\n"))).otherwise("")
     lines = lines.select(chunk.alias("chunk"), file.alias("file"), ep.alias("ep"), "fr", "row", line.alias("line"))
     return lines.mapInArrow(_LineWriter(out_dir), RESULT)
 
@@ -171,7 +174,7 @@ class _LineWriter:
         pending: list[bytes] = []
         held = 0
         last: tuple | None = None  # key of the last row, and whether the next row of that key goes
-        packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=6, write_checksum=True, write_content_size=True)
 
         def flush():
             nonlocal pending, held
