@@ -5,12 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import splits
+from framemill.llm import packing, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
 R = Registry()
 
+_LENGTH = "CASE WHEN len(split_lens) > 0 THEN list_sum(split_lens) ELSE CASE WHEN sample_len >= 0 THEN sample_len END END"
+_PIECES = f"""
+  items AS (SELECT sample_id, min(stream_id) AS stream_id, CAST(max({_LENGTH}) AS BIGINT) AS length FROM pack_samples GROUP BY sample_id),
+  capped AS (SELECT * FROM items JOIN pack_budgets USING (stream_id) WHERE length IS NOT NULL)
+"""
+
+
+@R.query(f"WITH {_PIECES} SELECT DISTINCT sample_id FROM capped WHERE length > sequence_length")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Samples longer than their stream's capacity: those that the containers hold in pieces."""
+    made = packing.pack(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+    held = made.select(F.explode(F.arrays_zip("sample_ids", "piece_counts")).alias("p"))
+    return held.where("p.piece_counts > 1").select(F.col("p.sample_ids").alias("sample_id")).distinct()
+
+
+@R.query()
+def p2_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers and what they hold."""
+    return packing.pack(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+
+
+@R.query(f"WITH {_PIECES} SELECT stream_id, count(*) AS n_samples, CAST(sum(length) AS BIGINT) AS tokens FROM capped GROUP BY stream_id")
+def p2_packed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and tokens that the containers of each stream hold: as many as came in."""
+    made = packing.pack(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+    held = made.select("stream_id", F.explode(F.arrays_zip("sample_ids", "sample_lens", "piece_nos")).alias("p"))
+    n = F.sum(F.when(F.col("p.piece_nos") == 0, 1).otherwise(0))
+    return held.groupBy("stream_id").agg(n.alias("n_samples"), F.sum("p.sample_lens").alias("tokens"))
+
+
+@R.query()
+def p2_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each stream, the least number possible and the share of unused space."""
+    made = packing.pack(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+    used, space = F.sum("used"), F.sum("sequence_length")
+    return made.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(used / F.max("sequence_length")).alias("least"), (1 - used / space).alias("unused_share"))
+
+
 _TIES = r"""
   named AS (SELECT DISTINCT episode_index AS e, lower(regexp_replace(domain_name, '[^\p{L}\p{N}]+', '', 'g')) AS dom, CAST(regexp_extract(recording_id, '\d+') AS BIGINT) AS rec
     FROM action_policy_batch WHERE episode_index IS NOT NULL AND domain_name IS NOT NULL AND regexp_matches(recording_id, '\d')),
