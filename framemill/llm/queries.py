@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import packing, splits
+from framemill.llm import packing, reservoir, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
@@ -77,3 +77,26 @@ def p3_split_shares(spark: SparkSession, d: str) -> DataFrame:
     n = splits.split(table(spark, d, "action_policy_batch")).groupBy("split").agg(F.count(F.lit(1)).alias("n_records"))
     total = n.agg(F.sum("n_records").alias("total"))
     return n.crossJoin(F.broadcast(total)).select("split", "n_records", (F.col("n_records") / F.col("total")).alias("share"))
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    return reservoir.draw(table(spark, d, "frames"), table(spark, d, "episodes"), table(spark, d, "stats_metadata"))
+
+
+@R.query()
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The frames drawn for each domain, with their records."""
+    return reservoir.with_records(_drawn(spark, d), table(spark, d, "frames"), table(spark, d, "episodes"))
+
+
+@R.query("""
+  WITH keyed AS (SELECT f.episode_index, coalesce(f.frame_index, CAST(round(f.timestamp_s * e.fps) AS BIGINT)) AS fr, e.domain_name
+    FROM frames f JOIN episodes e USING (episode_index)),
+  n AS (SELECT domain_name, count(*) AS n FROM (SELECT DISTINCT * FROM keyed) GROUP BY domain_name)
+  SELECT domain_name, least(n, reservoir_size, coalesce(max_samples, reservoir_size)) AS num_samples_stats,
+    least(n, reservoir_size, coalesce(max_samples, reservoir_size)) AS n_distinct
+  FROM stats_metadata JOIN n USING (domain_name)""")
+def p4_sample_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The number drawn for each domain, as reported and as counted."""
+    drawn = _drawn(spark, d).groupBy("domain_name", "num_samples_stats")
+    return drawn.agg(F.countDistinct("episode_index", "frame_index").alias("n_distinct"))
