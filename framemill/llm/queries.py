@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import packing, reservoir, splits
+from framemill.llm import packing, pairs, reservoir, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
@@ -100,3 +100,9 @@ def p4_sample_sizes(spark: SparkSession, d: str) -> DataFrame:
     """The number drawn for each domain, as reported and as counted."""
     drawn = _drawn(spark, d).groupBy("domain_name", "num_samples_stats")
     return drawn.agg(F.countDistinct("episode_index", "frame_index").alias("n_distinct"))
+
+
+@R.query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs and their defect."""
+    return pairs.defects(table(spark, d, "t2i_pairs"))

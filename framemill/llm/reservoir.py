@@ -121,6 +121,6 @@ def with_records(drawn: DataFrame, frames: DataFrame, episodes: DataFrame) -> Da
     rows = frame_rows(frames, episodes, take)
     d = drawn.select("domain_name", "draw_no", "num_samples_stats", F.col("episode_index").alias("e"), F.col("frame_index").alias("f"), F.col("chunk_index").alias("c"), F.col("file_index").alias("l"))
     on = (rows["ep"] == d["e"]) & rows["fr"].eqNullSafe(d["f"]) & rows["chunk"].eqNullSafe(d["c"]) & rows["file"].eqNullSafe(d["l"])
-    both = rows.join(broadcast_if_small(d, 120), on)
+    both = rows.join(broadcast_if_small(d, 320), on)
     best = F.min_by("rec", F.struct("at", "gi")).alias("record")
     return both.groupBy("domain_name", "draw_no", "num_samples_stats", F.col("e").alias("episode_index"), F.col("f").alias("frame_index"), F.col("c").alias("chunk_index"), F.col("l").alias("file_index")).agg(best)
