@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import packing, pairs, reservoir, splits
+from framemill.llm import leaks, packing, pairs, reservoir, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
@@ -106,3 +106,9 @@ def p4_sample_sizes(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective pairs and their defect."""
     return pairs.defects(table(spark, d, "t2i_pairs"))
+
+
+@R.query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
