@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import leaks, packing, pairs, reservoir, splits
+from framemill.llm import leaks, packing, pairs, quality, reservoir, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
@@ -112,3 +112,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@R.query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are not natural prose, and what they are."""
+    return quality.graded(table(spark, d, "documents")).where("kind is not null").select("doc_id", "kind").distinct()
+
+
+@R.query()
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics and outlier scores of every document."""
+    return quality.graded(table(spark, d, "documents")).select("doc_id", "language", *quality.STATS, "score", "peak")
