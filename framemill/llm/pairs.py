@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framemill.functions.jsontext import INVISIBLE, is_blank, parse
+from framemill.session import stored
 
 #: Labelled questions per language from which the language model is fitted (those with the least hash).
 SAMPLE_PER_LANGUAGE = 2000
@@ -291,16 +291,11 @@ def defects(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     Repeated pair ids give a row for each defect found. An empty table gives no rows.
     """
     model = fit_languages(pairs, per_language)
-    looked = pairs.select("pair_id", "extra_prompt", "prompt").mapInPandas(_look(model), "pair_id bigint, defect string, before string, word string")
-    counts = sentence_ends(pairs)
+    looked = stored(pairs.select("pair_id", "extra_prompt", "prompt").mapInPandas(_look(model), "pair_id bigint, defect string, before string, word string"), "looked")
+    counts = stored(sentence_ends(pairs), "ends")
     open_ends = looked.where("defect is null and word is not null").select("pair_id", "before", "word")
     lone = counts.groupBy("word").agg(F.sum("n").alias("wn"), F.sum("n_end").alias("wn_end"))
     judged = open_ends.join(counts, ["before", "word"], "left").join(lone, "word", "left")
     share = F.when(F.coalesce("n", F.lit(0)) >= 5, F.col("n_end") / F.col("n")).otherwise(F.coalesce(F.col("wn_end") / F.col("wn"), F.lit(0.0)))
     cut_off = judged.where(share < END_SHARE).select("pair_id", F.lit("truncated").alias("defect"))
     return looked.where("defect is not null").select("pair_id", "defect").union(cut_off).distinct()
-
-
-def end_likelihood(n: int, n_end: int) -> float:
-    """Log-likelihood that a word pair ends a sentence, with half an observation of each kind added."""
-    return math.log((n_end + 0.5) / (n + 1))
