@@ -18,7 +18,7 @@ from framemill.session import stored
 
 # Frequent function words of the languages told apart, and the signs of Chinese that serve as such.
 COMMON = {
-    "en": "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no what up into than them only some could these then now its about over such our most after also did many before must through back where much your way well down should because each just those people how too any while under until near between along across without behind next beside inside here".split(),
+    "en": "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if when will would who so no what up into than them only some could these then now its over such our after also did many before must through where much your down should because each just those people how too any while under until near between along across without behind beside inside here".split(),
     "fr": "le la les de des du un une et en est que qui dans pour pas sur au aux avec ce se il elle sont par plus ne son sa ses ou mais comme tout nous vous leur cette sans sous à l d s n".split(),
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis ohne unter neben während bevor".split(),
     "es": "el la los las de del un una y en que a por con no se su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy antes bajo mientras".split(),
@@ -286,7 +286,7 @@ def tails(stats: DataFrame) -> DataFrame:
 
 
 #: Mean of -ln p over all ranked statistics, and over the three furthest out, from which a document is an outlier.
-OUTLIER, PEAK = 1.0, 2.0
+OUTLIER, PEAK = 0.7, 1.5
 
 
 def scores(stats: DataFrame) -> DataFrame:
