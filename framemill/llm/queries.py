@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.llm import leaks, packing, pairs, quality, reservoir, splits
+from framemill.llm import leaks, mixing, packing, pairs, quality, reservoir, splits
 from framemill.plans.registry import Registry
 from framemill.session import table
 
@@ -124,3 +124,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics and outlier scores of every document."""
     return quality.graded(table(spark, d, "documents")).select("doc_id", "language", *quality.STATS, "score", "peak")
+
+
+@R.query()
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@R.query()
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
