@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+#: Modules of queries, in the order of registration.
+MODULES = ("windows", "problems")
 
-def registries():
-    from framemill.plans import problems
 
-    return [problems.R]
+def registries():
+    return [import_module(f"framemill.plans.{m}").R for m in MODULES]
