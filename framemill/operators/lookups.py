@@ -26,7 +26,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     near = probe.join(r, on).where(gap < tolerance if strict else gap <= tolerance)
     best = near.groupBy(*left_id).agg(F.min(F.struct(gap.alias("g"), F.col("_rt").alias("t"), F.col("_p").alias("p"))).alias("_best"))
     out = left.join(best, left_id, "left")
-    return out.select(*left.columns, F.col("_best.g").alias("gap"), F.col("_best.t").alias(f"{right_time}_near"), *[F.col(f"_best.p.{c}").alias(f"{c}_near") for c in payload])
+    return out.select(*left.columns, F.col("_best.g").alias("gap"), F.col("_best.t").alias(f"{right_time}_near"), *[F.col(f"_best.p.{c}").alias(f"{c}_near") for c in payload if c != right_time])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, lookback: int, payload: list[str], left_id: list[str]) -> DataFrame:
@@ -74,12 +74,16 @@ def first_found(rows: DataFrame, files: DataFrame, candidates: list[Column], out
     return rows.join(hit, row_id, "left")
 
 
-def snapped(events: DataFrame, marks: DataFrame, keys: list[str], start: str, stop: str, text: str, order: str) -> DataFrame:
+def snapped(events: DataFrame, marks: DataFrame, keys: list[str], start: str, stop: str, mark: str, text: str, event_id: str, reach: int) -> DataFrame:
     """Events with both ends at the nearest mark of their keys (ties: the earlier), equal intervals merged with their texts in order.
 
-    ``marks`` has one array ``marks`` per key, which is bounded by the length of one recording.
+    Ends farther than ``reach`` from any mark drop the event. Texts of one interval meet in a row.
     """
-    near = lambda c: F.element_at(F.array_sort(F.transform("marks", lambda m: F.struct(F.abs(m - F.col(c)).alias("d"), m.alias("m")))), 1)["m"]
-    at = events.join(marks, keys).withColumn("s", F.round(near(start), 2)).withColumn("e", F.round(near(stop), 2))
-    texts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(F.col(text)).alias("t"))))
-    return at.groupBy(*keys, "s", "e").agg(F.concat_ws(" ", F.transform(texts, lambda x: x["t"])).alias("caption"))
+    ids = [event_id, *keys]
+    ends = {}
+    for name, at in (("s", start), ("e", stop)):
+        near = asof_nearest(events.select(*ids, at), marks, keys, at, mark, reach, [mark], ids, strict=False)
+        ends[name] = near.where(F.col("gap").isNotNull()).select(*ids, F.col(f"{mark}_near").alias(name))
+    both = events.join(ends["s"], ids).join(ends["e"], ids)
+    texts = F.sort_array(F.collect_list(F.struct(F.col(event_id).alias("o"), F.trim(F.col(text)).alias("t"))))
+    return both.groupBy(*keys, "s", "e").agg(F.concat_ws(" ", F.transform(texts, lambda x: x["t"])).alias("caption"))
