@@ -105,7 +105,8 @@ def _accepted(made: DataFrame, plan: DataFrame, factor: float) -> DataFrame:
     tried = starts.select("domain", "seed", "b", "m", F.explode(each).alias("i"))
     roll = lambda what, below: F.pmod(F.xxhash64(F.lit(what), "seed", "domain", "i"), below)
     tried = tried.select("domain", "i", roll("block", "b").alias("block_no"), roll("offset", F.col("m").cast("bigint")).cast("int").alias("offset"))
-    tried = tried.groupBy("domain", "block_no", "offset").agg(F.min("i").alias("i"))
+    # the planner sees a few rows before the explode; it must not broadcast the proposals
+    tried = tried.groupBy("domain", "block_no", "offset").agg(F.min("i").alias("i")).hint("merge")
     real = tried.join(made.select("domain", "block_no", F.size("members").alias("size")), ["domain", "block_no"]).where("offset < size").drop("size")
     # the accepted in order of their proposals: an exact cut by the running count of each domain
     ranked = running_sum(real.withColumn("one", F.lit(1)), "one", [F.col("domain"), F.col("i")], "g", "accepted")
