@@ -50,13 +50,13 @@ def merged_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
-_QSQL = ", ".join(f"round(quantile_cont(x, {v}), 6) AS {k}" for k, v in _Q.items())
+_QSQL = ", ".join(f"round(quantile_cont(x, {v}), 12) AS {k}" for k, v in _Q.items())
 
 
 @R.query(f"WITH {_LONG} SELECT dom, dim, count(*) AS n, {_QSQL} FROM long GROUP BY dom, dim")
 def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """AGG-09, AGG-13, AGG-14, AGG-25: linear quantiles by position in a range-partitioned sort."""
-    return _rounded(statistics.exact_quantiles(_long(spark, d), ["dom", "dim"], "x", _Q), ["dom", "dim"], list(_Q))
+    return _rounded(statistics.exact_quantiles(_long(spark, d), ["dom", "dim"], "x", _Q), ["dom", "dim"], list(_Q), 12)
 
 
 @R.query(f"""WITH {_LONG}, q AS (SELECT dom, dim, ep, count(*) AS n, quantile_cont(x, 0.5) AS q50 FROM long GROUP BY 1, 2, 3)
@@ -67,11 +67,11 @@ def merge_weighted_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return statistics.weighted_quantiles(parts, ["dom", "dim"], ["q50"]).select("dom", "dim", F.round("q50", 6).alias("q50"))
 
 
-@R.query(f"""WITH {_LONG}, q AS (SELECT dom, dim, ep, quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.99) AS q99 FROM long GROUP BY 1, 2, 3) SELECT dom, dim, round(min(q01), 6) AS q01, round(max(q99), 6) AS q99 FROM q GROUP BY 1, 2""")
+@R.query(f"""WITH {_LONG}, q AS (SELECT dom, dim, ep, quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.99) AS q99 FROM long GROUP BY 1, 2, 3) SELECT dom, dim, round(min(q01), 12) AS q01, round(max(q99), 12) AS q99 FROM q GROUP BY 1, 2""")
 def merge_envelope(spark: SparkSession, d: str) -> DataFrame:
     """S7, second meaning: bounds that hold for every part."""
     parts = statistics.exact_quantiles(_long(spark, d), ["dom", "dim", "ep"], "x", {"q01": 0.01, "q99": 0.99})
-    return statistics.envelope(parts, ["dom", "dim"], "q01", "q99").select("dom", "dim", F.round("q01", 6).alias("q01"), F.round("q99", 6).alias("q99"))
+    return statistics.envelope(parts, ["dom", "dim"], "q01", "q99").select("dom", "dim", F.round("q01", 12).alias("q01"), F.round("q99", 12).alias("q99"))
 
 
 @R.query(f"""WITH {_LONG}, s AS (SELECT dim, min(x) - 1e-10 AS lo, max(x) + 1e-10 AS hi, count(*) AS n FROM long GROUP BY dim), b AS (SELECT dim, least(4999, CAST(floor((x - lo) / ((hi - lo) / 5000)) AS BIGINT)) AS bin, count(*) AS c, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n FROM long JOIN s USING (dim) GROUP BY 1, 2),
