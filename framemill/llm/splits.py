@@ -20,8 +20,9 @@ def folded_name(name: Column) -> Column:
 def folded_number(ident: Column) -> Column:
     """The number of an id without leading zeros; ids with no or several numbers keep all letters and digits, folded."""
     text = F.translate(ident, "０１２３４５６７８９", "0123456789")
-    bare = F.regexp_replace(folded_name(text), r"(?<!\d)0+(?=\d)", "")
     one = F.regexp_extract(text, r"^\D*?0*(\d+)\D*$", 1)
+    short = F.regexp_replace(text, r"(?<!\d)0+(?=\d)", "")
+    bare = F.nullif(F.trim(F.lower(F.regexp_replace(short, r"[^\p{L}\p{N}]+", " "))), F.lit(""))
     return F.when(one != "", one).otherwise(bare)
 
 
