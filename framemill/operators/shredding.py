@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framemill.functions.jsontext import is_blank, parse
+from framemill.session import spread
 
 LEAF = "leaf"
 
@@ -171,7 +172,7 @@ def shred(records: DataFrame, shape: dict = PROMPT_SHAPE, paths: list[str] | Non
             names = [f.split()[0] for f in SHREDDED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
-    rows = records.select("record_id", "raw_json", F.col("received_at").cast("timestamp")).mapInArrow(run, SHREDDED)
+    rows = spread(records.select("record_id", "raw_json", F.col("received_at").cast("timestamp"))).mapInArrow(run, SHREDDED)
     last = F.max_by(F.struct("rep", "def", "val"), F.struct("at", "tie"))
     return rows.groupBy("record_key", "path").agg(F.max("record_id").alias("record_id"), last.alias("c")).select("record_key", "record_id", "path", "c.rep", "c.def", "c.val")
 

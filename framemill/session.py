@@ -78,3 +78,9 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than those: for costly per-row work on few files. Large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
