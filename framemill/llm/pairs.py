@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framemill.functions.jsontext import INVISIBLE, is_blank, parse
-from framemill.session import stored
+from framemill.session import spread, stored
 
 #: Labelled questions per language from which the language model is fitted (those with the least hash).
 SAMPLE_PER_LANGUAGE = 2000
@@ -226,7 +226,7 @@ def sentence_ends(pairs: DataFrame) -> DataFrame:
             keys = list(n)
             yield pd.DataFrame({"before": [k[0] for k in keys], "word": [k[1] for k in keys], "n": [n[k] for k in keys], "n_end": [n_end[k] for k in keys]})
 
-    counted = pairs.select("extra_prompt", "prompt").mapInPandas(run, "before string, word string, n bigint, n_end bigint")
+    counted = spread(pairs.select("extra_prompt", "prompt")).mapInPandas(run, "before string, word string, n bigint, n_end bigint")
     return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
 
 
@@ -291,7 +291,7 @@ def defects(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     Repeated pair ids give a row for each defect found. An empty table gives no rows.
     """
     model = fit_languages(pairs, per_language)
-    looked = stored(pairs.select("pair_id", "extra_prompt", "prompt").mapInPandas(_look(model), "pair_id bigint, defect string, before string, word string"), "looked")
+    looked = stored(spread(pairs.select("pair_id", "extra_prompt", "prompt")).mapInPandas(_look(model), "pair_id bigint, defect string, before string, word string"), "looked")
     counts = stored(sentence_ends(pairs), "ends")
     open_ends = looked.where("defect is null and word is not null").select("pair_id", "before", "word")
     lone = counts.groupBy("word").agg(F.sum("n").alias("wn"), F.sum("n_end").alias("wn_end"))
