@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framemill.session import spread
+
 #: Shortest passage, in words of the item, and one edit is allowed for each so many of them.
 MIN_WORDS = 12
 WORDS_PER_EDIT = 8
@@ -209,7 +211,7 @@ def leaks(documents: DataFrame, items: DataFrame, items_per_pass: int = ITEMS_PE
         part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         index = SeedIndex([(r["item_id"], r["text"]) for r in part.collect()])
         shared = documents.sparkSession.sparkContext.broadcast(index)
-        found = documents.select("doc_id", "text").mapInPandas(_search(shared), "doc_id bigint, item_id bigint")
+        found = spread(documents.select("doc_id", "text")).mapInPandas(_search(shared), "doc_id bigint, item_id bigint")
         out = found if out is None else out.union(found)
     return out.distinct()
 
