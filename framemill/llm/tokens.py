@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from framemill.session import spread
+
 #: Where the vocabulary files lie on every machine.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -44,4 +46,4 @@ def with_token_counts(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
             texts = [t.encode("utf-8", "replace").decode("utf-8") for t in texts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"], "n_tokens": count(texts)})
 
-    return rows.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
