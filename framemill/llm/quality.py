@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framemill.operators.ordering import placed
-from framemill.session import stored
+from framemill.session import spread, stored
 
 # Frequent function words of the languages told apart, and the signs of Chinese that serve as such.
 COMMON = {
@@ -248,7 +248,7 @@ def measured(documents: DataFrame) -> DataFrame:
                 rows.append((row, doc, language_of(tokens(text), given), *(round(float(m[c]), 6) for c in _COLUMNS)))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "language", *_COLUMNS]).astype({"row": "int64", "doc_id": "Int64"})
 
-    read = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+    read = spread(documents.select("doc_id", "lang", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
     out = stored(read.mapInPandas(run, MEASURED), "measured")
     main = out.where("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(1)
     first = main.first()
