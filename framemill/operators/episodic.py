@@ -104,17 +104,19 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "i"
 def running_islands(df: DataFrame, keys: list[str], index: str, flag: str, least: int, block: int = BLOCK) -> DataFrame:
     """Runs of consecutive indexes where ``flag`` holds, at least ``least`` long: (keys, first, length), for runs of any length.
 
-    Runs are found inside blocks and joined where they touch at a block edge; only pieces of runs
-    meet in the second step.
+    Runs are found inside blocks. Those that reach neither edge of their block are whole; only the
+    others, two a block at most, meet in a second step that joins them where they touch.
     """
     on = df.where(F.col(flag)).select(*keys, index).withColumn("_block", F.floor(F.col(index) / block))
     w = Window.partitionBy(*keys, "_block").orderBy(index)
     piece = on.withColumn("_g", F.col(index) - F.row_number().over(w)).groupBy(*keys, "_block", "_g").agg(F.min(index).alias("a"), F.max(index).alias("b"))
+    at_edge = (F.col("a") == F.col("_block") * block) | (F.col("b") == (F.col("_block") + 1) * block - 1)
+    inner = piece.where(~at_edge).select(*keys, F.col("a").alias("first"), (F.col("b") - F.col("a") + 1).alias("length"))
     by = Window.partitionBy(*keys).orderBy("a")
     start = (F.lag("b").over(by).isNull() | (F.col("a") > F.lag("b").over(by) + 1)).cast("int")
-    joined = piece.withColumn("_s", start).withColumn("_r", F.sum("_s").over(by))
+    joined = piece.where(at_edge).withColumn("_s", start).withColumn("_r", F.sum("_s").over(by))
     runs = joined.groupBy(*keys, "_r").agg(F.min("a").alias("first"), (F.max("b") - F.min("a") + 1).alias("length"))
-    return runs.where(F.col("length") >= least).select(*keys, "first", "length")
+    return inner.union(runs.select(*keys, "first", "length")).where(F.col("length") >= least)
 
 
 def initial_run(df: DataFrame, keys: list[str], index: str, flag: str) -> DataFrame:
