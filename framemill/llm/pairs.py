@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framemill.functions.jsontext import INVISIBLE, is_blank, parse
+from framemill.operators.sampling import smallest
 from framemill.session import spread, stored
 
 #: Labelled questions per language from which the language model is fitted (those with the least hash).
@@ -83,7 +85,7 @@ def read_answer(answer: str | None) -> tuple[str, list[str], bool]:
 def has_content(texts: list[str]) -> bool:
     """Whether any text says something: letters or digits that are no word for nothing."""
     for text in texts:
-        words = "".join(ch for ch in unicodedata.normalize("NFKC", text).lower() if ch.isalnum())
+        words = "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
         if words and words not in NO_CONTENT:
             return True
     return False
@@ -95,8 +97,12 @@ def folded(text: str) -> str:
 
 def contents(text: str) -> Counter:
     """Words of a text, and in scripts without word spaces its character pairs."""
+    text = folded(text)
+    runs = re.findall(r"\w+", text)
+    if not _CJK.search(text):
+        return Counter(runs)
     out: Counter = Counter()
-    for run in re.findall(r"\w+", folded(text)):
+    for run in runs:
         if _CJK.search(run):
             out.update(run[i : i + 2] for i in range(max(1, len(run) - 1)))
         else:
@@ -137,23 +143,20 @@ class LanguageModel:
         counts = {lang: Counter() for lang in self.languages}
         for lang, text in labelled:
             counts[lang].update(grams(text))
-        vocabulary = {g for c in counts.values() for g in c}
-        self.weights: dict[str, np.ndarray] = {}
-        totals = np.array([sum(counts[x].values()) for x in self.languages], dtype=float) + 0.1 * (len(vocabulary) + 1)
-        for g in vocabulary:
-            self.weights[g] = np.log((np.array([counts[x][g] for x in self.languages]) + 0.1) / totals).astype(np.float32)
-        self.unseen = np.log(0.1 / totals).astype(np.float32) if self.languages else np.zeros(0, np.float32)
+        vocabulary = sorted({g for c in counts.values() for g in c})
+        table = np.array([[0.1] * len(self.languages)] + [[c[g] + 0.1 for c in counts.values()] for g in vocabulary]).reshape(len(vocabulary) + 1, len(self.languages))
+        totals = np.array([sum(c.values()) for c in counts.values()], dtype=float) + 0.1 * (len(vocabulary) + 1)
+        #: one row of log-likelihoods for each n-gram, the first for unseen ones
+        self.weights = np.log(table / totals).astype(np.float32)
+        self.row = {g: i for i, g in enumerate(vocabulary, 1)}
 
     def posterior(self, text: str) -> np.ndarray | None:
         """Mean log-likelihood per n-gram by language; None for a text without letters."""
-        found = Counter(grams(text))
-        n = sum(found.values())
-        if not n or not self.languages:
+        get = self.row.get
+        rows = list(map(get, found := grams(text), repeat(0, len(found))))
+        if not rows or not self.languages:
             return None
-        total = np.zeros(len(self.languages), np.float64)
-        for g, k in found.items():
-            total += k * self.weights.get(g, self.unseen)
-        return total / n
+        return self.weights[rows].mean(0, dtype=np.float64)
 
 
 def other_language(model: LanguageModel, question: str, texts: list[str]) -> bool:
@@ -171,9 +174,11 @@ def other_language(model: LanguageModel, question: str, texts: list[str]) -> boo
 def ends(text: str) -> Iterator[tuple[str, str, bool]]:
     """(word before, word, whether it ends a sentence) for every word; characters of scripts without spaces are words."""
     last, pending = "", None
-    for token in _WORD.findall(folded(text)):
+    text = folded(text)
+    unspaced = _CJK.search(text) is not None
+    for token in _WORD.findall(text):
         if token[0].isalnum():
-            for word in token if _CJK.search(token) else (token,):
+            for word in token if unspaced and _CJK.search(token) else (token,):
                 if pending is not None:
                     yield (*pending, False)
                 pending, last = (last, word), word
@@ -195,11 +200,9 @@ def fit_languages(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     lang = F.lower(F.trim(F.split(F.col("prompt_lang"), "[-_]")[0]))
     labelled = pairs.where("extra_prompt is not null").select(lang.alias("lang"), "pair_id", "extra_prompt").where("lang <> ''")
     names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    sample: list[tuple[str, str]] = []
-    for name in names:
-        rows = labelled.where(F.col("lang") == name).orderBy(F.xxhash64("pair_id"), "pair_id").limit(per_language)
-        sample += [(name, r["extra_prompt"]) for r in rows.select("extra_prompt").collect()]
-    return LanguageModel(sample)
+    few = smallest(labelled.where(F.col("lang").isin(names)), ["lang"], F.struct(F.xxhash64("pair_id"), "pair_id"), per_language)
+    sample = sorted((r["lang"], r["pair_id"] is None, r["pair_id"] or 0, r["extra_prompt"]) for r in few.collect())
+    return LanguageModel([(lang, text) for lang, _, _, text in sample])
 
 
 def sentence_ends(pairs: DataFrame) -> DataFrame:
