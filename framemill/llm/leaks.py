@@ -18,6 +18,8 @@ from framemill.session import spread
 #: Shortest passage, in words of the item, and one edit is allowed for each so many of them.
 MIN_WORDS = 12
 WORDS_PER_EDIT = 8
+#: Edits of a shortest passage: one of 2 * MIN_WORDS words or more holds a shorter one.
+MOST_EDITS = (2 * MIN_WORDS - 1) // WORDS_PER_EDIT
 
 #: Positions that a mask compares; it ignores those between. A passage of 12 words or more with an edit in
 #: eight has five words in a row without one, so the first mask misses none; the others hit across a changed word.
@@ -119,12 +121,14 @@ def holds_passage(item: np.ndarray, doc: np.ndarray) -> bool:
     """Whether ``doc`` holds a passage of ``item`` of MIN_WORDS words or more with at most one edit in WORDS_PER_EDIT words.
 
     An edit changes, adds or drops a word. Dynamic programme over (item word, document word): the
-    longest passage ending there for each number of edits; a row of the table is one numpy step.
+    longest passage ending there for each number of edits; a row of the table is one numpy step. Two
+    edits are enough: of a passage of 24 words or more one half is again within one edit in
+    WORDS_PER_EDIT words, so a shortest such passage has at most 23 words.
     """
     n, m = len(item), len(doc)
     if n < MIN_WORDS or m < MIN_WORDS - MIN_WORDS // WORDS_PER_EDIT:
         return False
-    most = n // WORDS_PER_EDIT
+    most = min(n // WORDS_PER_EDIT, MOST_EDITS)
     low = -(1 << 20)
     # longest[e][j]: item words in the longest passage that ends at this item word and document word j with e edits
     before = np.full((most + 1, m + 1), low)
@@ -163,34 +167,37 @@ def verified(item: np.ndarray, doc: np.ndarray, places: np.ndarray, item_places:
     for k in np.argsort(-counts, kind="stable"):
         if _straight(item, doc, int(shifts[k])):
             return True
-    # windows of the document that can hold a passage with added or dropped words, merged where they touch
-    slack = len(item) // WORDS_PER_EDIT + 1
-    starts = np.maximum(0, places - item_places - slack)
-    stops = np.minimum(len(doc), places - item_places + len(item) + slack)
-    order = np.argsort(starts)
-    begin, end = int(starts[order[0]]), int(stops[order[0]])
-    spans = []
-    for k in order[1:]:
-        if starts[k] > end:
-            spans.append((begin, end))
-            begin, end = int(starts[k]), int(stops[k])
+    # what is left needs added or dropped words: stretches of the document around plausible shifts
+    likely = [int(x) for x in shifts if _plausible(item, doc, int(x))]
+    slack = MOST_EDITS + 1
+    spans: list[list[int]] = []
+    for shift in sorted(likely):
+        begin, end = max(0, shift - slack), min(len(doc), shift + len(item) + slack)
+        if spans and begin <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
         else:
-            end = max(end, int(stops[k]))
-    spans.append((begin, end))
-    need = MIN_WORDS - MIN_WORDS // WORDS_PER_EDIT
-    for begin, end in spans:
-        part = doc[begin:end]
-        # MIN_WORDS words with an edit leave `need` words of the item; fewer common words can hold no passage
-        if np.isin(part, item).sum() >= need and _dense(np.isin(part, item), need) and holds_passage(item, part):
-            return True
-    return False
+            spans.append([begin, end])
+    return any(holds_passage(item, doc[begin:end]) for begin, end in spans)
 
 
-def _dense(common: np.ndarray, need: int) -> bool:
-    """Whether some stretch of MIN_WORDS + 1 words has ``need`` common ones."""
-    total = np.concatenate([[0], np.cumsum(common)])
-    width = min(len(common), MIN_WORDS + 1)
-    return bool((total[width:] - total[:-width]).max(initial=0) >= need) if width else False
+def _plausible(item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
+    """Whether MIN_WORDS item words in a row have all but MOST_EDITS of them in the document at about this shift.
+
+    A shortest passage (see ``holds_passage``) has a seed, at most two edits, and so all but two words of
+    any MIN_WORDS of its words at most two places from the seed's shift.
+    """
+    n = len(item)
+    wide = np.zeros(n + 2 * MOST_EDITS, np.uint64)
+    there = np.zeros(len(wide), bool)
+    lo = shift - MOST_EDITS
+    a, b = max(0, lo), min(len(doc), lo + len(wide))
+    wide[a - lo : b - lo] = doc[a:b]
+    there[a - lo : b - lo] = True
+    near = np.zeros(n, bool)
+    for k in range(2 * MOST_EDITS + 1):
+        near |= (wide[k : k + n] == item) & there[k : k + n]
+    total = np.concatenate([[0], np.cumsum(near)])
+    return bool((total[MIN_WORDS:] - total[:-MIN_WORDS]).max(initial=0) >= MIN_WORDS - MOST_EDITS)
 
 
 def leaks(documents: DataFrame, items: DataFrame, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:

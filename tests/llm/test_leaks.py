@@ -24,7 +24,7 @@ def brute(item, doc):
     return any(distance_ok(item[i : i + n], doc) for n in range(12, len(item) + 1) for i in range(len(item) - n + 1))
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.data())
 def test_passages_against_brute_force(data):
     rng = random.Random(data.draw(st.integers(0, 10**6)))
