@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +51,9 @@ _GAP = re.compile(r" {2,}|\t")
 _RULE = re.compile(r"[\s|+:=\-_─-╿]+")
 _LATIN_RUN = re.compile(r"[^\s぀-ヿ㐀-鿿가-힯　-〿＀-￯]{31,}")
 
+#: Control, private, unassigned and replacement characters, among them what wrongly decoded UTF-8 leaves.
+_ODD = regex.compile(r"[^\P{C}\p{Cf}\t\n\r]|\uFFFD")
+
 #: Words of a line without a final sign up to which it is a label.
 LABEL_WORDS = 8
 #: Share of words (or lines) that makes a text mostly one thing.
@@ -59,13 +62,16 @@ MOSTLY = 0.5
 
 def tokens(text: str) -> list[str]:
     """Words in lower case; characters of scripts without word spaces are words."""
-    out = []
-    for w in _WORD.findall(text):
-        if _CJK.search(w):
-            out.extend(w)
-        else:
-            out.append(w.lower())
-    return out
+    found = _WORD.findall(text.lower())
+    if not _CJK.search(text):
+        return found
+    return [c for w in found for c in (w if _CJK.search(w) else (w,))]
+
+
+def n_tokens(text: str) -> int:
+    """As many as ``tokens`` gives."""
+    found = _WORD.findall(text)
+    return len(found) if not _CJK.search(text) else sum(len(w) if _CJK.search(w) else 1 for w in found)
 
 
 def is_common(word: str) -> bool:
@@ -109,7 +115,7 @@ def table_lines(lines: list[str]) -> list[bool]:
         usual = counts.most_common(1)[0][0]
         near = [i for i in at if abs(found[i][sep] - usual) <= (2 if sep == "  " else 1) and found[i][sep] >= min(least, usual)]
         if sep in (",", "  ", ";"):
-            near = [i for i in near if len(tokens(lines[i])) <= 5 * found[i][sep] and not (sep == "," and re.search(r",\s\w", re.sub(r"\"[^\"]*\"", "", lines[i])))]
+            near = [i for i in near if n_tokens(lines[i]) <= 5 * found[i][sep] and not (sep == "," and re.search(r",\s\w", re.sub(r"\"[^\"]*\"", "", lines[i])))]
         if len(near) >= 3 and len(near) >= 0.6 * len(at) and len(near) > sum(best):
             best = [False] * len(lines)
             for i in near:
@@ -127,7 +133,8 @@ def structure(text: str) -> dict[str, float]:
     Code between fences counts for nothing. A line is an item when it begins with a list sign, or is
     a label: a few words without a final sign, not the wrapped end of a sentence.
     """
-    lines = [x for x in _FENCE.sub("\n", text).split("\n") if x.strip()]
+    text = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    lines = [x for x in text.split("\n") if x.strip()]
     rows = table_lines(lines)
     kinds: list[str] = []
     sizes: list[int] = []
@@ -135,7 +142,7 @@ def structure(text: str) -> dict[str, float]:
     wide = sorted(len(x) for x in lines)[len(lines) // 2] if lines else 0
     for line, row in zip(lines, rows):
         bare = re.sub(r"^[>\s]+", "", line).strip()
-        n = len(tokens(bare))
+        n = n_tokens(bare)
         end = bool(_END.search(bare))
         ended += end
         if row:
@@ -165,21 +172,22 @@ def structure(text: str) -> dict[str, float]:
     return out | {f"{k}_lines": v / n_lines for k, v in count.items()} | {"line_end_ratio": ended / n_lines, "lines": len(lines)}
 
 
-def measure(text: str) -> dict[str, float]:
-    """All statistics of one text, over the whole of it."""
+def measure(text: str) -> tuple[dict[str, float], list[str]]:
+    """All statistics of one text, over the whole of it, and its words."""
     n = len(text)
     words = tokens(text)
     s = structure(text)
     letters = sum(map(str.isalpha, text))
     digits = sum(map(str.isdigit, text))
     spaces = sum(map(str.isspace, text))
-    odd = 0 if text.isascii() and text.isprintable() else sum(map(_odd, text))
+    odd = 0 if text.isprintable() and "\ufffd" not in text else len(_ODD.findall(text))
     counts = Counter(words)
     m = len(words)
-    sentences = _SENTENCE.split(_FENCE.sub("\n", text))
+    plain = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    last = max((x.end() for x in _SENTENCE.finditer(plain)), default=0)
     raw = text.encode("utf-8", "surrogatepass")
     part = lambda k: k / n if n else 0.0
-    return {
+    stats = {
         "n_chars": n,
         "n_words": m,
         "n_lines": s["lines"],
@@ -196,7 +204,7 @@ def measure(text: str) -> dict[str, float]:
         "prose_share": s["prose_share"],
         "item_share": s["item_share"],
         "field_share": s["field_share"],
-        "sentence_share": sum(len(tokens(x)) for x in sentences[:-1]) / m if m else 0.0,
+        "sentence_share": n_tokens(plain[:last]) / m if m else 0.0,
         "run_share": max((sum(1 for _ in g) for _, g in groupby(words)), default=0) / m if m > 1 else 0.0,
         "odd_ratio": part(odd),
         "long_share": part(sum(len(x) for x in _LATIN_RUN.findall(text))),
@@ -204,13 +212,7 @@ def measure(text: str) -> dict[str, float]:
         "item_lines": s["item_lines"],
         "field_lines": s["field_lines"],
     }
-
-
-def _odd(c: str) -> bool:
-    """Control, private, unassigned and replacement characters, and the letters that wrongly decoded UTF-8 leaves."""
-    if c < "\x80":
-        return c < " " and c not in "\t\n\r"
-    return c == "�" or "\x80" <= c <= "\x9f" or unicodedata.category(c) in ("Co", "Cn", "Cs")
+    return stats, words
 
 
 def language_of(words: list[str], given: str | None) -> str | None:
@@ -243,9 +245,9 @@ def measured(documents: DataFrame) -> DataFrame:
             rows = []
             for row, doc, lang, text in zip(pdf["row"].tolist(), pdf["doc_id"].tolist(), pdf["lang"], pdf["text"]):
                 text = text or ""
-                m = measure(text)
+                m, words = measure(text)
                 given = (lang or "").strip().lower()[:2] or None
-                rows.append((row, doc, language_of(tokens(text), given), *(round(float(m[c]), 6) for c in _COLUMNS)))
+                rows.append((row, doc, language_of(words, given), *(round(float(m[c]), 6) for c in _COLUMNS)))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "language", *_COLUMNS]).astype({"row": "int64", "doc_id": "Int64"})
 
     read = spread(documents.select("doc_id", "lang", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")

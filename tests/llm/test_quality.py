@@ -58,11 +58,12 @@ def test_empty_table(spark):
 
 
 def test_statistics():
-    m = quality.measure("The cat, the dog.\nA cat 12\n\n")
+    m, words = quality.measure("The cat, the dog.\nA cat 12\n\n")
+    assert words == ["the", "cat", "the", "dog", "a", "cat", "12"]
     assert (m["n_words"], m["n_lines"], m["n_chars"]) == (7, 2, 28)
     assert m["common_share"] == pytest.approx(3 / 7) and m["distinct_share"] == pytest.approx(5 / 7)
     assert m["line_end_ratio"] == 0.5 and m["digit_ratio"] == pytest.approx(2 / 28)
-    assert quality.measure("")["n_words"] == 0
+    assert quality.measure("")[0]["n_words"] == 0
 
 
 def test_ranks_against_sorting(spark):
