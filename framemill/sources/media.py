@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Kept:
@@ -41,7 +42,7 @@ def decoded(rows: DataFrame, path: str, decoder: Callable[[str], Callable[[list[
     Rows are brought together by path, spread over slices of time, so that a file is opened by few
     tasks and a long one is not read by a single one. The codec is the caller's; none is built in.
     """
-    schema = rows.schema.add(out, "array<binary>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.BinaryType()))])
     slices = F.floor(F.coalesce(F.element_at(times, 1), F.lit(0.0)) / 600)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
