@@ -138,7 +138,7 @@ def compact_frames(frames: DataFrame, episodes: DataFrame, out_dir: str | None =
     copied = copied.select("ep", "fr", F.col("best.chunk").alias("c"), F.col("best.file").alias("f"))
     # files that hold a frame without being the one that keeps it
     losers = keys.select("ep", "fr", "chunk", "file").join(copied, ["ep", "fr"]).where("not (chunk <=> c and file <=> f)")
-    losers = losers.select("chunk", "file", "ep", "fr").distinct()
+    losers = stored(losers.select("chunk", "file", "ep", "fr").distinct(), "losers")
 
     n_rows, width = frames.count(), _line_width(frames, columns)
     n_files = max(1, -(-n_rows * width // target_bytes))

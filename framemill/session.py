@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Largest estimated size of a side that an operator broadcasts by itself.
 BROADCAST_LIMIT_BYTES = 48 << 20
 
@@ -54,14 +56,20 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """Write ``df`` as a Parquet table to the shared folder and read it back.
 
     Used where a result is read several times: column pruning and statistics stay
-    available, and losing an executor loses nothing.
+    available, and losing an executor loses nothing. The shuffle files of the write are
+    removed when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framemill-{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
