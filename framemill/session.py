@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +87,25 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the session was made; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_framemill_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = shared_dir(spark)
+    local = folder.removeprefix("file://") if folder.startswith(("file:", "/")) else tempfile.mkdtemp()  # addPyFile copies it from there
+    os.makedirs(local, exist_ok=True)
+    archive = os.path.join(local, f"framemill-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(archive)
+    sc._framemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

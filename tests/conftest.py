@@ -10,9 +10,10 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from framemill.session import build_session
+    from framemill.session import build_session, ship
 
     session = build_session("local[4]", 4, **{"spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    ship(session)
     yield session
     session.stop()
 
