@@ -56,6 +56,8 @@ _ODD = regex.compile(r"[^\P{C}\p{Cf}\t\n\r]|\uFFFD")
 
 #: Words of a line without a final sign up to which it is a label.
 LABEL_WORDS = 8
+#: Words from which a line of several sentences is running text, whatever sign it begins with.
+LONG_ITEM = 25
 #: Share of words (or lines) that makes a text mostly one thing.
 MOSTLY = 0.5
 
@@ -147,7 +149,7 @@ def structure(text: str) -> dict[str, float]:
         ended += end
         if row:
             kind = "field"
-        elif _BULLET.match(line):
+        elif _BULLET.match(line) and not (n > LONG_ITEM and len(_SENTENCE.findall(bare)) > 2):
             kind = "item"
         elif bare.startswith("#") or end:
             kind = "prose"
@@ -314,7 +316,7 @@ def kind_of() -> Column:
         | (c("long_share") >= 0.3)
         | (c("run_share") >= 0.3)
         | ((c("repeat_ratio") >= 0.9) & (c("n_words") >= 20))
-        | ((c("common_share") < 0.2) & (c("p_common") < 0.2) & ~(table | listed) & (c("language") != "zh"))
+        | ((c("common_share") < 0.15) & (c("p_common") < 0.2) & ~(table | listed) & (c("language") != "zh"))
         | ((c("common_share") < 0.05) & (c("p_common") < 0.2) & ~(table | listed))
     )
     unreadable = (c("n_words") == 0) | (c("odd_ratio") >= 0.02) | ((c("alpha_ratio") < 0.35) & ~table) | ((c("long_share") >= 0.3) & ~table)

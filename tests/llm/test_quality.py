@@ -15,6 +15,7 @@ KINDS = {
     "\n".join(PROSE[i : i + 40] for i in range(0, len(PROSE), 40)): None,
     PROSE.lower().replace(".", "").replace(",", ""): None,
     PROSE + "\n\n- a mug\n- a box": None,
+    "Q. " + PROSE + "\nA. unclear": None,
     "# Notes on the arm\n\n" + PROSE + "\n\n```\n--batch 5\n--rig 7\n```": None,
     "> " + PROSE.replace(". ", ".\n> "): None,
     "- a red mug\n- the second arm\n- opens the drawer\n- a coiled cable": "list",
