@@ -105,3 +105,25 @@ def stride_frames(start: Column, end: Column, fps: Column, cap: float, need: int
     span = (need - 1) * step
     first = start + F.floor((end - start - span) / 2)
     return F.when(end - start >= span, F.sequence(first.cast("bigint"), (first + span).cast("bigint"), step.cast("bigint")))
+
+
+def encode_state(state: np.ndarray, anchor: np.ndarray, scalars: slice, grippers: slice, quats: list[slice]) -> np.ndarray:
+    """States relative to an anchor: scalars as differences, grippers as they are, quaternions (xyzw) as the turn from the anchor's."""
+    out = np.array(state, dtype=float)
+    out[..., scalars] = state[..., scalars] - anchor[..., scalars]
+    out[..., grippers] = state[..., grippers]
+    for q in quats:
+        a, b = rotations.to_matrix(anchor[..., q], "quat_xyzw"), rotations.to_matrix(state[..., q], "quat_xyzw")
+        out[..., q] = rotations.from_matrix(np.swapaxes(a, -1, -2) @ b, "quat_xyzw")
+    return out
+
+
+def decode_state(code: np.ndarray, anchor: np.ndarray, scalars: slice, grippers: slice, quats: list[slice]) -> np.ndarray:
+    """The inverse of ``encode_state``; quaternions come back with their last number not negative."""
+    out = np.array(code, dtype=float)
+    out[..., scalars] = code[..., scalars] + anchor[..., scalars]
+    out[..., grippers] = code[..., grippers]
+    for q in quats:
+        a, b = rotations.to_matrix(anchor[..., q], "quat_xyzw"), rotations.to_matrix(code[..., q], "quat_xyzw")
+        out[..., q] = rotations.from_matrix(a @ b, "quat_xyzw")
+    return out

@@ -38,7 +38,7 @@ def stream_running_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS slot, event_id AS ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 8")
 def stream_ring_buffer(spark: SparkSession, d: str) -> DataFrame:
-    """STM-01: the last eight rows of each key."""
+    """STM-01, STM-06 (see streaming.monitor): the last eight rows of each key."""
     return stateful.latest(stateful.finished(stateful.ring(_events(spark, d), "user_id", "event_id", 8), "update", "ring"), ["key"])
 
 
@@ -131,3 +131,54 @@ def rotation_conversion(spark: SparkSession, d: str) -> DataFrame:
     axis = rotations.convert_column("rot6d", "axisangle")
     e = table(spark, d, "embeddings").select("vec_id", q.alias("q")).withColumn("r", six("q")).withColumn("a", axis("r"))
     return e.select("vec_id", F.round(F.degrees(F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, v: s + v * v))), 4).alias("angle"))
+
+
+@R.query("""WITH f AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), e AS (SELECT min(user_id) AS u FROM events) SELECT event_id, i AS frame_index FROM f, e WHERE user_id = u AND i BETWEEN 1 AND 3""")
+def store_window_scan(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02, SRC-34: a window of one episode, its bounds checked, its row groups pruned."""
+    ds = _built(spark, d)
+    first = ds.episodes().agg(F.min("episode_index")).first()[0]
+    return ds.window(first, 1, 4, ["event_id", "frame_index"])
+
+
+@R.query("SELECT 'success' AS source, count(*) AS n FROM events UNION ALL SELECT 'failure', count(*) FROM events")
+def split_roots_union(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13, SRC-14, SRC-35: roots under labels, read as one table."""
+    root = _built(spark, d).root
+    return store.open_labelled(spark, {"success": root, "failure": root}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("SELECT domain_name AS path, coalesce(CASE WHEN fps > 20 THEN 'top' END, 'front') AS video_key FROM episodes WHERE domain_name IS NOT NULL")
+def manifest_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-17, SRC-19, SRC-23, EDT-13, RDR-13, RDR-18, RDR-19: rows of a manifest of data sets, settings of the row before the defaults."""
+    e = table(spark, d, "episodes").where("domain_name is not null")
+    lines = e.select(F.col("domain_name").alias("path"), F.when(F.col("fps") > 20, "top").alias("video_key"))
+    return manifests.with_defaults(lines, {"video_key": "front"})
+
+
+@R.query(f"{_CUR} SELECT uuid, CASE WHEN reason IS NOT NULL AND reason <> 'no_valid_window' THEN reason WHEN CAST(uuid AS BIGINT) NOT IN (SELECT episode_index FROM action_policy_batch WHERE episode_index IS NOT NULL) THEN 'missing_control_path' ELSE reason END AS reason FROM r")
+def control_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16, RDR-16, RDR-17: clips without a control file are dropped after the other checks of the clip."""
+    have = table(spark, d, "action_policy_batch").where("episode_index is not null").select(F.col("episode_index").cast("string").alias("span_uuid")).distinct()
+    controls = have.withColumn("control_path", F.concat(F.lit("depth/"), "span_uuid"))
+    return manifests.curated(_clips(spark, d), model="m", min_edge=360, min_frames=20, max_seconds=12.0, controls=controls).select("uuid", "reason")
+
+
+@R.query("SELECT user_id AS episode_index, count(*) AS n, list_sort(list_distinct(list(event_type))) AS tasks FROM events GROUP BY 1")
+def layout_migration(spark: SparkSession, d: str) -> DataFrame:
+    """EDT-11: an earlier layout (a file per episode, tasks as JSON lines) brought into this one."""
+    import json
+
+    from pyarrow import fs
+
+    base = f"{shared_dir(spark)}/framemill-old-{uuid.uuid4().hex}"
+    base = base if "://" in base else f"file://{base}"
+    kinds = table(spark, d, "events").select("event_type").distinct().withColumn("task_index", F.crc32("event_type"))
+    kinds.select("task_index", F.col("event_type").alias("task")).write.json(f"{base}/meta/tasks.jsonl")
+    e = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), F.col("event_id").alias("frame_index"), F.crc32("event_type").alias("task_index"), "value")
+    e.write.parquet(f"{base}/data/chunk-000")
+    files, at = fs.FileSystem.from_uri(f"{base}/{store.INFO}")
+    with files.open_output_stream(at) as f:
+        f.write(json.dumps({"fps": 10}).encode())
+    store.migrate(spark, base, f"{base}-new")
+    return store.Episodes(spark, f"{base}-new").episodes().select("episode_index", F.col("length").alias("n"), "tasks")

@@ -122,3 +122,42 @@ def create(frames: DataFrame, root: str, fps: float, order: list[Column], vector
     store, at = fs.FileSystem.from_uri(f"{root}/{INFO}")
     with store.open_output_stream(at) as f:
         f.write(json.dumps(info).encode())
+
+
+def open_labelled(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """Frames of several roots with the columns they share and the label of the root they come from."""
+    names = list(roots)
+    df = open_all(spark, [roots[n] for n in names])
+    return df.withColumn("source", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("dataset_index") + 1))
+
+
+def make(spark: SparkSession, root: str, streaming: bool = False, files_per_trigger: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Frames of a data set, as a batch or as a stream of its files."""
+    if not streaming:
+        return Episodes(spark, root).frames(columns)
+    reader = spark.readStream.schema(spark.read.parquet(f"{root}/data").schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    df = reader.parquet(f"{root}/data").drop("chunk")
+    return df.select(*columns) if columns else df
+
+
+def samples(df: DataFrame, prefetch: bool = True):
+    """Rows as dicts, a partition at a time: the driver holds one partition, not the result."""
+    for row in df.toLocalIterator(prefetchPartitions=prefetch):
+        yield row.asDict(recursive=True)
+
+
+def migrate(spark: SparkSession, old: str, new: str, fps: float | None = None) -> None:
+    """Bring a data set of the earlier layout (one Parquet file per episode, JSON lines of tasks) into this one.
+
+    ``old`` holds data/**/*.parquet with episode_index, frame_index and task_index, meta/tasks.jsonl with
+    task_index and task, and meta/info.json with fps. Frame numbers, timestamps and the global index are made anew.
+    """
+    store, at = fs.FileSystem.from_uri(f"{old}/{INFO}")
+    with store.open_input_stream(at) as f:
+        info = json.loads(f.read())
+    frames = spark.read.option("recursiveFileLookup", True).parquet(f"{old}/data")
+    tasks = spark.read.schema("task_index bigint, task string").json(f"{old}/meta/tasks.jsonl")
+    named = frames.withColumnRenamed("frame_index", "_order").join(broadcast_if_small(tasks, 200), "task_index", "left")
+    create(named.drop("task_index", "index", "timestamp"), new, fps or float(info["fps"]), [F.col("_order")])

@@ -89,3 +89,27 @@ def test_media(spark, tmp_path):
     rows = spark.createDataFrame([("p", [0.5, 1.5]), ("q", None), (None, [1.0])], "path string, times array<double>")
     frames = {r["path"]: r["frames"] for r in media.decoded(rows, "path", lambda p: lambda ts: [f"{p}{t}".encode() for t in ts], "times").collect()}
     assert frames == {"p": [bytearray(b"p0.5"), bytearray(b"p1.5")], "q": None, None: None}
+
+
+def test_states_come_back():
+    rng = np.random.default_rng(2)
+    s, a = rng.normal(size=(9, 10)), rng.normal(size=10)
+    parts = (slice(0, 5), slice(5, 6), [slice(6, 10)])
+    back = actions.decode_state(actions.encode_state(s, a, *parts), a, *parts)
+    assert np.allclose(back[:, :6], s[:, :6])
+    assert np.allclose(rotations.to_matrix(back[:, 6:], "quat_xyzw"), rotations.to_matrix(s[:, 6:], "quat_xyzw"))
+
+
+def test_a_stream_that_stands_still():
+    from types import SimpleNamespace as N
+
+    from framemill.streaming.monitor import Watch
+
+    warned = []
+    w = Watch(10, lambda k, s: warned.append(k))
+    w.onQueryStarted(N(runId="a"))
+    w.onQueryProgress(N(progress=N(runId="a", numInputRows=5)))
+    assert w.idle() == [] and w.rows == {"a": 5} and w.triggers == {"a": 1}
+    assert w.idle(w.seen["a"] + 11) == ["a"] == warned
+    w.onQueryTerminated(N(runId="a"))
+    assert w.idle(1e12) == []
