@@ -162,69 +162,76 @@ def _line_width(frames: DataFrame, columns: list) -> int:
     return int(few["w"] or 1) + 1
 
 
+class _FrameSink:
+    """Writes what it gets as complete zstandard frames of about _FRAME_BYTES of text."""
+
+    def __init__(self, out):
+        self.out, self.pending, self.held = out, [], 0
+        self.packer = zstandard.ZstdCompressor(level=6, write_checksum=True, write_content_size=True)
+
+    def write(self, data: bytes) -> None:
+        self.pending.append(data)
+        self.held += len(data)
+        if self.held >= _FRAME_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write(self.packer.compress(b"".join(self.pending)))
+            self.pending, self.held = [], 0
+
+
 class _LineWriter:
-    """mapInArrow function: writes the lines of one partition as one file of zstandard frames."""
+    """mapInArrow function: joins the small files of one partition into one file of zstandard frames."""
 
     def __init__(self, out_dir: str):
         self.out_dir = out_dir
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        size = lines = crc = 0
-        pending: list[bytes] = []
-        held = 0
-        last: tuple | None = None  # key of the last row, and whether the next row of that key goes
-        packer = zstandard.ZstdCompressor(level=6, write_checksum=True, write_content_size=True)
-
-        def flush():
-            nonlocal pending, held
-            if held:
-                out.write(packer.compress(b"".join(pending)))
-                pending, held = [], 0
-
+        out = join = None
+        last: tuple | None = None  # key of the last row
         for batch in batches:
             if not batch.num_rows:
                 continue
             keep, last, gone = _keep(batch, last)
-            if gone is not None and len(gone[0]):
-                n = len(gone[0])
+            if n := len(gone[0]):
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(["dropped"] * n), pa.nulls(n, pa.string()), gone[0], gone[1], none, none, none, none], schema=_arrow(RESULT))
-            text = batch.column(5)
-            text = text if keep.all() else text.filter(pa.array(keep))
-            data = _bytes(text)
-            if not data:
+            if not keep.any():
                 continue
             if out is None:
                 store, base = fs.FileSystem.from_uri(self.out_dir)
                 store.create_dir(base, recursive=True)
                 name = f"{base}/frames-{uuid.uuid4().hex}.jsonl.zst"
                 out = store.open_output_stream(name + ".tmp", compression=None)
-            pending.append(data)
-            held += len(data)
-            size, lines, crc = size + len(data), lines + len(text), zlib.crc32(data, crc)
-            if held >= _FRAME_BYTES:
-                flush()
+                sink = _FrameSink(out)
+                join = TextJoin(sink)
+            for part in _parts(batch, keep):
+                join.add(part)
         if out is not None:
-            flush()
+            sink.flush()
             out.close()
             with store.open_input_stream(name + ".tmp", compression=None) as back:
                 found = read_back(back)
-            if found != (size, lines, crc):
-                raise BrokenPart(f"{name}: {found} was read back, {(size, lines, crc)} was written")
+            if found != (join.size, join.lines, join.crc):
+                raise BrokenPart(f"{name}: {found} was read back, {(join.size, join.lines, join.crc)} was written")
             store.move(name + ".tmp", name)
             path = self.out_dir.rstrip("/") + name[len(base) :]
-            row = ["file", path, None, None, lines, size, store.get_file_info(name).size, crc]
+            row = ["file", path, None, None, join.lines, join.size, store.get_file_info(name).size, join.crc]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _arrow(RESULT))], schema=_arrow(RESULT))
 
 
-def _bytes(text: pa.Array) -> bytes:
-    """The bytes of a string array, joined: one slice of its data buffer."""
-    if not len(text):
-        return b""
+def _parts(batch: pa.RecordBatch, keep: np.ndarray) -> Iterator[bytes]:
+    """The bytes of each small file in a batch: one range of the text where all its lines stay, else the ranges that do."""
+    text = batch.column(5) if keep.all() else batch.column(5).filter(pa.array(keep))
+    chunk, file = (np.asarray(batch.column(i).fill_null(-(1 << 62)))[keep] for i in (0, 1))
+    cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (file[1:] != file[:-1])) + 1
     wide = pa.types.is_large_string(text.type)
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1]
-    return text.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes()
+    data = memoryview(text.buffers()[2])
+    ends = offsets[[0, *cuts.tolist(), len(text)]].tolist()
+    for lo, hi in zip(ends, ends[1:]):
+        yield bytes(data[lo:hi])
 
 
 def _keep(batch: pa.RecordBatch, last: tuple | None):
