@@ -77,9 +77,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Whether counted rows times ``row_bytes`` stay within the limit. Counting reads at most limit // row_bytes + 1 rows."""
-    most = max(1, limit // max(1, row_bytes))
-    return df.limit(most + 1).count() <= most
+    """Whether counted rows times ``row_bytes`` stay within the limit; the count is a parallel aggregation."""
+    return df.count() * max(1, row_bytes) <= limit
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
@@ -110,6 +109,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer partitions than those: for costly per-row work on few files. Large inputs are left as they are."""
+    """Rows over all cores where a scan has fewer partitions than those: for costly per-row work on few files.
+
+    Inputs estimated at a gigabyte or more have partitions enough and are left as they are.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 1 << 30:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
