@@ -143,7 +143,7 @@ def action_json_loader(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sample_id", actions.loaded_actions(text, 3, 2).alias("actions"))
 
 
-@R.query("SELECT episode_index, CASE WHEN k > 0 THEN range(0, k) ELSE [] END AS conditioning FROM (SELECT episode_index, least(CASE WHEN u < 0.5 THEN 1 WHEN u < 0.75 THEN 3 ELSE 0 END, greatest(0, num_frames - 1)) AS k FROM (SELECT episode_index, num_frames, CAST(CAST('0x' || substr(sha256(CAST(episode_index AS VARCHAR) || '/4'), 1, 12) AS UBIGINT) AS DOUBLE) / 281474976710656.0 AS u FROM episodes WHERE num_frames IS NOT NULL))")
+@R.query("SELECT episode_index, CAST(CASE WHEN k > 0 THEN range(0, k) ELSE [] END AS INTEGER[]) AS conditioning FROM (SELECT episode_index, least(CASE WHEN u < 0.5 THEN 1 WHEN u < 0.75 THEN 3 ELSE 0 END, greatest(0, num_frames - 1)) AS k FROM (SELECT episode_index, num_frames, CAST(CAST('0x' || substr(sha256(CAST(episode_index AS VARCHAR) || '/4'), 1, 12) AS UBIGINT) AS DOUBLE) / 281474976710656.0 AS u FROM episodes WHERE num_frames IS NOT NULL))")
 def sequence_plan(spark: SparkSession, d: str) -> DataFrame:
     """MTH-21, RDR-12."""
     u = sampling.uniform(F.col("episode_index"), 4)

@@ -43,7 +43,7 @@ def shard_two_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH e AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM eval_items), n AS (SELECT count(*) * 3 AS n FROM e)
-  SELECT item_id, pos, unnest(range(0, 3)) AS copy FROM e UNION ALL SELECT item_id, pos, 3 FROM e, n WHERE pos < (7 - n % 7) % 7""")
+  SELECT item_id, pos, CAST(unnest(range(0, 3)) AS INTEGER) AS copy FROM e UNION ALL SELECT item_id, pos, 3::INTEGER FROM e, n WHERE pos < (7 - n % 7) % 7""")
 def shard_repeat_pad(spark: SparkSession, d: str) -> DataFrame:
     """SMP-04."""
     items = sampling.positions(table(spark, d, "eval_items").select("item_id"), [F.col("item_id")])

@@ -12,7 +12,7 @@ from framemill.session import table
 
 R = Registry()
 
-_LONG = """long AS (SELECT e.domain_name AS dom, f.episode_index AS ep, u.dim - 1 AS dim, CAST(f.action_vec[u.dim] AS DOUBLE) AS x FROM frames f JOIN episodes e USING (episode_index), (SELECT unnest(range(1, 8)) AS dim) u
+_LONG = """long AS (SELECT e.domain_name AS dom, f.episode_index AS ep, CAST(u.dim - 1 AS INTEGER) AS dim, CAST(f.action_vec[u.dim] AS DOUBLE) AS x FROM frames f JOIN episodes e USING (episode_index), (SELECT unnest(range(1, 8)) AS dim) u
   WHERE f.action_vec[u.dim] IS NOT NULL AND NOT isnan(f.action_vec[u.dim]))"""
 
 
@@ -161,7 +161,7 @@ def mode_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "action_policy_batch").groupBy("model_mode").agg(F.count(F.lit(1)).alias("n"), F.count("fps").alias("n_valid"), F.round(F.avg("fps"), 6).alias("mean_fps"), F.round(F.sum("fps") / F.count("fps"), 6).alias("record_mean"))
 
 
-@R.query("SELECT stream_id, arrival_no // 100 AS w, sum(sample_len) AS tokens, count(*) AS n FROM pack_samples WHERE sample_len > 0 GROUP BY 1, 2")
+@R.query("SELECT stream_id, arrival_no // 100 AS w, CAST(sum(sample_len) AS BIGINT) AS tokens, count(*) AS n FROM pack_samples WHERE sample_len > 0 GROUP BY 1, 2")
 def throughput_windows(spark: SparkSession, d: str) -> DataFrame:
     """AGG-21, STM-05 in batch."""
     return table(spark, d, "pack_samples").where("sample_len > 0").groupBy("stream_id", F.expr("arrival_no div 100").alias("w")).agg(F.sum("sample_len").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -198,7 +198,7 @@ def norm_statistics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("norm"), F.max(F.abs("value")).alias("peak"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@R.query("SELECT 'l' || k AS step, sum(v) AS total FROM (SELECT unnest(range(0, len(split_lens))) AS k, unnest(split_lens) AS v FROM pack_samples) GROUP BY 1")
+@R.query("SELECT 'l' || k AS step, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(range(0, len(split_lens))) AS k, unnest(split_lens) AS v FROM pack_samples) GROUP BY 1")
 def worker_timing_sum(spark: SparkSession, d: str) -> DataFrame:
     """AGG-28: sums of a map's values by key."""
     m = F.map_from_entries(F.transform(F.col("split_lens"), lambda v, i: F.struct(F.concat(F.lit("l"), i.cast("string")), v)))
