@@ -27,4 +27,4 @@ STEPS = """steps AS (
   FROM frames f LEFT JOIN episodes e USING (episode_index) WHERE f.episode_index IS NOT NULL AND coalesce(f.frame_index, round(f.timestamp_s * e.fps)) IS NOT NULL GROUP BY 1, 2)"""
 
 #: An episode's first and last frame and its values there.
-ENDS = "ends AS (SELECT ep, min(i) AS start, max(i) + 1 AS stop, arg_min(v, i) AS v0, arg_max(v, i) AS v1 FROM steps GROUP BY ep)"
+ENDS = "ends AS (SELECT ep, min(i) AS start, max(i) + 1 AS stop, arg_min_null(v, i) AS v0, arg_max_null(v, i) AS v1 FROM steps GROUP BY ep)"

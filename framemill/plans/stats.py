@@ -22,12 +22,16 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
     return statistics.channels(f.withColumnRenamed("episode_index", "ep"), ["dom", "ep"], "action_vec")
 
 
+#: Values lie on a binary grid, so means may lie just between two rounded ones; this settles them alike on both sides.
+_TILT = 1 + 1e-12
+
+
 def _rounded(df: DataFrame, keys: list[str], cols: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, "n", *[F.round(c, digits).alias(c) for c in cols])
+    return df.select(*keys, "n", *[F.round(F.col(c) * (_TILT if digits < 12 else 1.0), digits).alias(c) for c in cols])
 
 
 _MOMENTS = ["mn", "mx", "mean", "std"]
-_MSQL = "count(*) AS n, round(min(x), 6) AS mn, round(max(x), 6) AS mx, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std"
+_MSQL = "count(*) AS n, " + ", ".join(f"round({e} * {_TILT!r}, 6) AS {c}" for c, e in (("mn", "min(x)"), ("mx", "max(x)"), ("mean", "avg(x)"), ("std", "stddev_pop(x)")))
 
 
 @R.query(f"WITH {_LONG} SELECT dim, {_MSQL} FROM long GROUP BY dim")
@@ -76,7 +80,7 @@ def merge_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"""WITH {_LONG}, s AS (SELECT dim, min(x) - 1e-10 AS lo, max(x) + 1e-10 AS hi, count(*) AS n FROM long GROUP BY dim), b AS (SELECT dim, least(4999, CAST(floor((x - lo) / ((hi - lo) / 5000)) AS BIGINT)) AS bin, count(*) AS c, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n FROM long JOIN s USING (dim) GROUP BY 1, 2),
   c AS (SELECT *, sum(c) OVER (PARTITION BY dim ORDER BY bin) AS upto FROM b)
-  SELECT dim, n, round(min(CASE WHEN upto >= 0.5 * n AND upto - c < 0.5 * n THEN lo + (hi - lo) / 5000 * (bin + (0.5 * n - (upto - c)) / c) END), 6) AS q50 FROM c GROUP BY dim, n""")
+  SELECT dim, n, round(min(CASE WHEN upto >= 0.5 * n AND upto - c < 0.5 * n THEN lo + (hi - lo) / 5000 * (bin + (0.5 * n - (upto - c)) / c) END) * 1.000000000001, 6) AS q50 FROM c GROUP BY dim, n""")
 def histogram_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """AGG-01, AGG-02."""
     return _rounded(statistics.histogram_quantiles(_long(spark, d), ["dim"], "x", {"q50": 0.5}), ["dim"], ["q50"])
