@@ -8,7 +8,6 @@ import re
 
 #: Characters that carry no content: byte-order mark, zero-width characters, soft hyphen.
 INVISIBLE = "﻿​‌‍⁠­"
-_FENCE = re.compile(r"^\s*(?:```|~~~)[\w+-]*[ \t]*\r?\n?(.*?)\r?\n?\s*(?:```|~~~)\s*$", re.S)
 _TAG = re.compile(r"^\s*<([A-Za-z][\w-]*)[^<>]*>(.*)</\1\s*>\s*$", re.S)
 _DECODER = json.JSONDecoder()
 
@@ -23,12 +22,24 @@ def _load(text: str):
         return False, None
 
 
+def _unfenced(text: str) -> str | None:
+    """What stands between a code fence that begins the text and the one that ends it."""
+    fence = text[:3]
+    if fence not in ("```", "~~~") or len(text) < 6 or not text.endswith(fence):
+        return None
+    head, newline, rest = text[3:-3].partition("\n")
+    if newline and re.fullmatch(r"[\w+-]*", head.strip()):
+        return rest
+    return text[3:-3]
+
+
 def _readings(text: str):
     """The text itself, then without one layer of quoting or mark-up, most literal first."""
     yield text
-    for pattern, group in ((_FENCE, 1), (_TAG, 2)):
-        if m := pattern.match(text):
-            yield m[group]
+    if (inside := _unfenced(text)) is not None:
+        yield inside
+    if text[0] == "<" and (m := _TAG.match(text)):
+        yield m[2]
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'`":
         yield text.strip(text[0])
     if '\\"' in text:

@@ -63,6 +63,9 @@ def test_dresses_of_json():
         assert parse(text) == (True, {"a": 1}), text
     for text in (None, "", "  ", "plain words", '{"a": 1', '```json\n{"a": [1,\n```', '"unfinished', "[1, 2", "{'a': 1}x{"):
         assert parse(text)[0] is False, text
+    assert parse("```json\n{" + " " * 300_000 + "```")[0] is False
+    assert parse("```json\n" + " " * 300_000 + '{"a": 1}' + "\n" * 300_000 + "```") == (True, {"a": 1})
+    assert parse("<!--" * 50_000)[0] is False and parse('```{"a": 1}```') == (True, {"a": 1})
 
 
 def test_records_that_have_no_rows(spark):
