@@ -28,7 +28,7 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 3, 5
 #: Items that one pass over the corpus holds; a larger test set takes several passes (blocks).
 ITEMS_PER_PASS = 20_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}?>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}?>|<!--[^<>]{0,2000}?-->")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w{1,30});")
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e007f]")
 _WORD = re.compile(r"[^\W_]+")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from framemill.operators.frames import frame_rows
 from framemill.operators.ordering import running_sum
-from framemill.session import broadcast_if_small, stored
+from framemill.session import broadcast_if_small, fits_broadcast, stored
 
 #: A file with more frames of a domain than this counts as several blocks, so that no block is unbounded.
 BLOCK_ROWS = 512
+#: Estimated bytes of a domain's row in a hash relation; all tables of one row per domain are broadcast only if that many fit.
+_DOMAIN_BYTES = 256
 #: Proposals that one task makes.
 PROPOSALS = 100_000
 
@@ -25,14 +27,14 @@ def arrivals(frames: DataFrame, episodes: DataFrame, domains: DataFrame) -> Data
     take = {"at": F.col("ingested_at"), "chunk": F.col("chunk_index"), "file": F.col("file_index"), "gi": F.col("global_index")}
     rows = frame_rows(frames, episodes, take)
     of = episodes.groupBy(F.col("episode_index").alias("ep")).agg(F.max("domain_name").alias("domain"))
-    of = of.join(F.broadcast(domains.select("domain")), "domain")
+    of = of.join(broadcast_if_small(domains.select("domain"), _DOMAIN_BYTES), "domain")
     rows = rows.withColumn("alone", F.when(F.col("fr").isNull(), F.xxhash64("at", "chunk", "file", "gi")))
     first = rows.groupBy("ep", "fr", "alone").agg(F.min(F.struct("at", "chunk", "file")).alias("f"))
     first = first.select("ep", "fr", "alone", F.col("f.chunk").alias("chunk"), F.col("f.file").alias("file"))
     return first.join(broadcast_if_small(of, 80), "ep")
 
 
-def blocks(frames: DataFrame) -> DataFrame:
+def blocks(frames: DataFrame, small: bool = True) -> DataFrame:
     """Blocks of arrived frames, numbered densely in each domain: (domain, block_no, chunk, file, members), stored.
 
     A block is what one file brought of a domain; files with more than BLOCK_ROWS frames are cut
@@ -46,7 +48,7 @@ def blocks(frames: DataFrame) -> DataFrame:
     members = sliced.groupBy("domain", "chunk", "file", "slice").agg(F.sort_array(F.collect_list(F.struct("ep", "fr", "alone"))).alias("members"))
     numbered = running_sum(members.withColumn("one", F.lit(1)), "one", [F.col(c) for c in ("domain", "chunk", "file", "slice")], "g", "blocks")
     first = numbered.groupBy("domain").agg(F.min("g").alias("g0"))
-    return stored(numbered.join(F.broadcast(first), "domain").select("domain", (F.col("g") - F.col("g0")).alias("block_no"), "chunk", "file", "members"), "numbered")
+    return stored(numbered.join(_hint(first, small), "domain").select("domain", (F.col("g") - F.col("g0")).alias("block_no"), "chunk", "file", "members"), "numbered")
 
 
 def wanted(metadata: DataFrame) -> DataFrame:
@@ -72,20 +74,21 @@ def draw(frames: DataFrame, episodes: DataFrame, metadata: DataFrame) -> DataFra
     ``num_samples_stats`` is the number drawn. Empty tables give no rows.
     """
     want = wanted(metadata).where("k > 0")
-    made = blocks(arrivals(frames, episodes, want))
+    small = fits_broadcast(want, _DOMAIN_BYTES)
+    made = blocks(arrivals(frames, episodes, want), small)
     size = made.groupBy("domain").agg(F.count(F.lit(1)).alias("b"), F.max(F.size("members")).alias("m"), F.sum(F.size("members")).alias("n"))
     plan = want.join(size, "domain").withColumn("take", F.least("k", "n"))
     plan = plan.withColumn("invert", F.col("take") > F.col("n") / 2).withColumn("goal", F.when(F.col("invert"), F.col("n") - F.col("take")).otherwise(F.col("take")))
     plan = stored(plan, "plan")
     factor = 1.15
     while True:
-        hits = stored(_accepted(made, plan, factor), "hits")
+        hits = stored(_accepted(made, plan, factor, small), "hits")
         got = hits.groupBy("domain").agg(F.count(F.lit(1)).alias("got"))
         short = plan.join(got, "domain", "left").where(F.coalesce("got", F.lit(0)) < F.col("goal"))
         if short.isEmpty():
             break
         factor *= 2
-    cells = made.join(F.broadcast(plan.select("domain", "invert", "take")), "domain")
+    cells = made.join(_hint(plan.select("domain", "invert", "take"), small), "domain")
     cells = cells.select("domain", "block_no", "invert", "take", "chunk", "file", F.posexplode("members").alias("offset", "frame"))
     marked = cells.join(hits, ["domain", "block_no", "offset"], "left")
     chosen = marked.where(F.col("i").isNull() == F.col("invert"))
@@ -93,7 +96,11 @@ def draw(frames: DataFrame, episodes: DataFrame, metadata: DataFrame) -> DataFra
     return chosen.select(F.col("domain").alias("domain_name"), F.col("i").alias("draw_no"), *frame, F.col("chunk").alias("chunk_index"), F.col("file").alias("file_index"), F.col("take").alias("num_samples_stats"))
 
 
-def _accepted(made: DataFrame, plan: DataFrame, factor: float) -> DataFrame:
+def _hint(per_domain: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(per_domain) if small else per_domain
+
+
+def _accepted(made: DataFrame, plan: DataFrame, factor: float, small: bool) -> DataFrame:
     """(domain, block_no, offset, i) of the first ``goal`` accepted proposals of each domain, ``i`` counting proposals."""
     # proposals needed for `goal` different ones of n cells that exist among b * m
     tries = F.col("n") * -F.log1p(-F.col("goal") / F.col("n")) * (F.col("b") * F.col("m") / F.col("n"))
@@ -111,7 +118,7 @@ def _accepted(made: DataFrame, plan: DataFrame, factor: float) -> DataFrame:
     # the accepted in order of their proposals: an exact cut by the running count of each domain
     ranked = running_sum(real.withColumn("one", F.lit(1)), "one", [F.col("domain"), F.col("i")], "g", "accepted")
     first = ranked.groupBy("domain").agg(F.min("g").alias("g0"))
-    ranked = ranked.join(F.broadcast(first), "domain").join(F.broadcast(plan.select("domain", "goal")), "domain")
+    ranked = ranked.join(_hint(first, small), "domain").join(_hint(plan.select("domain", "goal"), small), "domain")
     return ranked.where("g - g0 < goal").select("domain", "block_no", "offset", "i")
 
 
