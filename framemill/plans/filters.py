@@ -172,7 +172,6 @@ def composite_remap_default(spark: SparkSession, d: str) -> DataFrame:
     return out.select("episode_index", "n_rows", "dst_chunk")
 
 
-_US = "CAST(epoch_us(captured_at) AS BIGINT)"
 _NEAR = f"""WITH q AS (SELECT record_id, episode_index AS ep, CAST(record_id % 40 AS BIGINT) * 333333 AS t FROM (SELECT DISTINCT record_id, episode_index FROM action_policy_batch WHERE episode_index IS NOT NULL)),
   {STEPS}, r AS (SELECT ep, i, CAST(round(ts * 1000000) AS BIGINT) AS t FROM steps WHERE ts IS NOT NULL AND NOT isnan(ts)),
   j AS (SELECT q.record_id, q.ep, q.t, min((abs(r.t - q.t), r.t, r.i)) AS b FROM q LEFT JOIN r ON r.ep = q.ep AND abs(r.t - q.t) {{op}} 60000 GROUP BY 1, 2, 3)"""

@@ -13,7 +13,6 @@ from framemill.session import broadcast_if_small, table
 
 R = Registry()
 
-_KEY = "sha256(CAST(doc_id AS VARCHAR) || '/{seed}')"
 _POS = "p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR) || '/0'), doc_id) - 1 AS pos FROM documents)"
 
 

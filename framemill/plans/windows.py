@@ -13,7 +13,6 @@ from framemill.session import broadcast_if_small, table
 R = Registry()
 
 # WIN-01..03, WIN-06, WIN-07
-_AT = "(SELECT v FROM steps x WHERE x.ep = s.ep AND x.i = s.i + ({k}))"
 
 
 def _delta_sql(deltas: dict[str, int], value: str = "v") -> str:

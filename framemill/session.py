@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="framemill-ckpt-"))
+        own = tempfile.mkdtemp(prefix="framemill-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         current = sc.getCheckpointDir()
     return current
 
