@@ -2,7 +2,6 @@
 
 import os
 from collections import Counter
-from datetime import datetime
 
 import pytest
 

@@ -4,7 +4,6 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from framemill.llm import reservoir
 
