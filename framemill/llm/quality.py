@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -231,11 +232,11 @@ def language_of(words: list[str], given: str | None) -> str | None:
 _COMMON_SETS = {lang: set(words) for lang, words in COMMON.items()}
 
 _COLUMNS = (*STATS, "item_lines", "field_lines")
-MEASURED = "row bigint, doc_id bigint, language string, " + ", ".join(f"{c} double" for c in _COLUMNS)
+MEASURED = "row bigint, doc_id bigint, language string, text_key binary, " + ", ".join(f"{c} double" for c in _COLUMNS)
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """All statistics of each document: (row, doc_id, language, ...). ``row`` tells rows of equal ids apart.
+    """All statistics of each document: (row, doc_id, language, text_key, ...). ``row`` tells rows of equal ids apart, ``text_key`` texts.
 
     A null text is measured like an empty one: all statistics are 0. The language is told by
     function words, else taken from ``lang``, else the most frequent language of the corpus.
@@ -249,8 +250,9 @@ def measured(documents: DataFrame) -> DataFrame:
                 text = text or ""
                 m, words = measure(text)
                 given = (lang or "").strip().lower()[:2] or None
-                rows.append((row, doc, language_of(words, given), *(round(float(m[c]), 6) for c in _COLUMNS)))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "language", *_COLUMNS]).astype({"row": "int64", "doc_id": "Int64"})
+                key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((row, doc, language_of(words, given), key, *(round(float(m[c]), 6) for c in _COLUMNS)))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "language", "text_key", *_COLUMNS]).astype({"row": "int64", "doc_id": "Int64"})
 
     read = spread(documents.select("doc_id", "lang", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
     out = stored(read.mapInPandas(run, MEASURED), "measured")
@@ -259,17 +261,20 @@ def measured(documents: DataFrame) -> DataFrame:
     return out.withColumn("language", F.coalesce("language", F.lit(first["language"] if first else "und")))
 
 
-def tails(stats: DataFrame) -> DataFrame:
+def tails(stats: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """(row, stat, p): for each ranked statistic the share of the language's documents at least as far out.
 
+    They are counted among ``population``, which holds the rows of ``stats`` and maybe more; without it, among ``stats``.
+
     Exact: the distinct values of each language and statistic are sorted over range partitions, each
     counts its own, and one offset per partition turns counts into ranks; equal values share theirs.
     Values that many documents share meet their rows in a broadcast (at most 100 for each language
     and statistic), all others in a join without hot keys.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(TAILS)])).alias("s")
-    long = stats.select("row", "language", pairs).select("row", "language", "s.stat", "s.value")
-    distinct = long.groupBy("language", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = lambda df: df.select("row", "language", pairs).select("row", "language", "s.stat", "s.value")
+    long = values(stats)
+    distinct = (long if population is None else values(population)).groupBy("language", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = placed(distinct, [F.col("language"), F.col("stat"), F.col("value")], "ranks")
     inside = Window.partitionBy("_part", "language", "stat").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = ranked.groupBy("language", "stat", "_part").agg(F.sum("n").alias("m"))
@@ -291,22 +296,51 @@ def tails(stats: DataFrame) -> DataFrame:
 
 #: Mean of -ln p over all ranked statistics, and over the three furthest out, from which a document is an outlier.
 OUTLIER, PEAK = 0.7, 1.5
+#: Distinct texts from which a language with known function words is ranked by itself, else among the whole corpus.
+LEAST_RANKED = 100
+LISTED = (*COMMON, "zh")
+_TEXT = ["language", "text_key"]
 
 
 def scores(stats: DataFrame) -> DataFrame:
-    """(row, score, peak, p_common): mean surprise over all ranked statistics and over the three furthest out."""
+    """(language, text_key, copies, score, peak, p_common): mean surprise over all ranked statistics and over the three furthest out.
+
+    Each text is ranked and counted once, however many rows hold it. A language of ``LISTED`` with too few texts to
+    rank is ranked among the whole corpus; others are not, as their prose has none of the words that are counted.
+    """
+    texts = stored(stats.groupBy(*_TEXT).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in TAILS]), "texts")
+    few = texts.where(F.col("language").isin(*LISTED)).groupBy("language").count().where(F.col("count") < LEAST_RANKED)
+    small = F.col("language").isin([r["language"] for r in few.collect()])
+    own, every = texts.where(~small), texts.withColumn("language", F.lit("*"))
+    ranks = tails(own.union(every.join(texts.where(small).select("row"), "row", "left_semi").select(own.columns)), own.union(every)) if not few.isEmpty() else tails(texts)
     surprise = -F.ln("p")
     common = list(TAILS).index("common_share")
-    return tails(stats).groupBy("row").agg(
+    out = ranks.groupBy("row").agg(
         F.avg(surprise).alias("score"),
         F.expr("aggregate(slice(sort_array(collect_list(-ln(p)), false), 1, 3), 0D, (a, x) -> a + x) / 3").alias("peak"),
         F.min(F.when(F.col("stat") == common, F.col("p"))).alias("p_common"),
     )
+    return texts.select("row", *_TEXT, "copies").join(out, "row").drop("row")
+
+
+def with_scores(stats: DataFrame) -> DataFrame:
+    """``stats`` with the scores of their texts; texts that many rows share (at most 100) meet their rows in a broadcast."""
+    known = stored(scores(stats), "scores")
+    many = F.col("copies") > 0.01 * stats.count()
+    packed = known.where(many).select(*_TEXT, F.struct("score", "peak", "p_common").alias("_s"))
+    met = stats.join(F.broadcast(packed), _TEXT, "left")
+    rest = met.where("_s is null").drop("_s").join(known.where(~many).drop("copies"), _TEXT)
+    return met.where("_s is not null").select(*_TEXT, *[c for c in stats.columns if c not in _TEXT], "_s.*").unionByName(rest)
 
 
 def kind_of() -> Column:
-    """What an outlier is, by the statistics that put it there; null for prose that merely is unusual."""
+    """What a document is by its statistics; null for prose, even if it is unusual.
+
+    Shares of the document itself say so, however many others are like it. Only where few function words
+    are all that speaks against a text do the ranks and scores of its language decide.
+    """
     c = F.col
+    outlier = (c("score") >= OUTLIER) | (c("peak") >= PEAK)
     table = (c("field_share") >= MOSTLY) & (c("field_lines") >= MOSTLY) & (c("n_words") > 0)
     listed = (c("item_share") >= MOSTLY) & (c("item_lines") >= MOSTLY)
     noise = (
@@ -316,8 +350,8 @@ def kind_of() -> Column:
         | (c("long_share") >= 0.3)
         | (c("run_share") >= 0.3)
         | ((c("repeat_ratio") >= 0.9) & (c("n_words") >= 20))
-        | ((c("common_share") < 0.15) & (c("p_common") < 0.2) & ~(table | listed) & (c("language") != "zh"))
-        | ((c("common_share") < 0.05) & (c("p_common") < 0.2) & ~(table | listed))
+        | ((c("common_share") < 0.15) & (c("p_common") < 0.2) & outlier & ~(table | listed) & (c("language") != "zh"))
+        | ((c("common_share") < 0.05) & (c("p_common") < 0.2) & outlier & ~(table | listed))
     )
     unreadable = (c("n_words") == 0) | (c("odd_ratio") >= 0.02) | ((c("alpha_ratio") < 0.35) & ~table) | ((c("long_share") >= 0.3) & ~table)
     return F.when(unreadable, "junk").when(table, "table").when(listed, "list").when(noise, "junk")
@@ -326,11 +360,9 @@ def kind_of() -> Column:
 def graded(documents: DataFrame) -> DataFrame:
     """Each document with its statistics, outlier scores and kind ('list', 'table', 'junk'; null for prose).
 
-    The statistics are ranked within the language; a document is an outlier when its mean surprise,
-    or that of its three furthest statistics, passes a threshold, and only outliers get a kind. Equal
-    texts get equal kinds. Null and empty texts are 'junk'. An empty table gives no rows.
+    Texts are ranked within their language, each once, and are outliers when their mean surprise, or that of
+    their three furthest statistics, passes a threshold. The kind follows from a document's own statistics; of
+    texts with few function words and no other fault only outliers are 'junk'. Equal texts of a language
+    get equal kinds. Null and empty texts are 'junk'. An empty table gives no rows.
     """
-    stats = measured(documents)
-    joined = stats.join(scores(stats), "row")
-    outlier = (F.col("score") >= OUTLIER) | (F.col("peak") >= PEAK)
-    return joined.withColumn("kind", F.when(outlier, kind_of()))
+    return with_scores(measured(documents)).withColumn("kind", kind_of())

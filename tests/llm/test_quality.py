@@ -54,6 +54,28 @@ def test_odd_rows(graded):
     assert graded[901]["n_words"] == 100_001
 
 
+@pytest.mark.parametrize("copied", ["- a red mug\n- the second arm\n- a coiled cable\n- a tool rack", "", None])
+def test_a_third_of_all_rows_as_copies(spark, copied):
+    prose = [PROSE.replace("robot", w) + f" It took {n} seconds, but nobody minded the wait." for w in ("arm", "cart") for n in range(60)]
+    rows = [(i, t, "en", "s", 1, 2.0, "clash") for i, t in enumerate(prose)] + [(1000 + i, copied, "en", "s", 1, 2.0, "clash") for i in range(60)]
+    rows += [(2000, "reached the goal " * 60, "fr", "s", 1, 2.0, "clash"), (2001, "clip | task\nc1 | wipes\nc2 | opens\nc3 | waits", "it", "s", 1, 2.0, "clash")]
+    got = {r["doc_id"]: r["kind"] for r in quality.graded(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    assert {got[1000 + i] for i in range(60)} == {"list" if copied else "junk"}
+    assert {got[i] for i in range(len(prose))} == {None}
+    assert (got[2000], got[2001]) == ("junk", "table")
+
+
+def test_copies_are_ranked_once(spark):
+    texts = [PROSE + f" It took {n} seconds." for n in range(120)]
+    once = quality.graded(spark.createDataFrame([(i, t, "en", "s", 1, 2.0, "clash") for i, t in enumerate(texts)], SCHEMA))
+    often = quality.graded(spark.createDataFrame([(i, t, "en", "s", 1, 2.0, "clash") for i, t in enumerate(texts + texts[:1] * 80)], SCHEMA))
+    want = {r["doc_id"]: (r["score"], r["peak"]) for r in once.collect()}
+    got = {r["doc_id"]: (r["score"], r["peak"]) for r in often.collect()}
+    assert all(got[i] == pytest.approx(v) for i, v in want.items())
+    assert all(got[120 + i] == pytest.approx(want[0]) for i in range(80))
+
+
 def test_empty_table(spark):
     assert quality.graded(spark.createDataFrame([], SCHEMA)).collect() == []
 
