@@ -123,7 +123,7 @@ def domain_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def relative_action_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """MTH-11, MTH-12, MTH-14, RDR-01..15: chunks of relative poses; the inverse is checked in the tests."""
+    """MTH-11, MTH-12, MTH-14: chunks of relative poses, as the LIBERO reader cuts them; the inverse is checked in the tests."""
     f = steps_vectors(spark, d)
     return actions.relative_chunks(f, actions.Reader("libero", "x", chunk=8, stride=4))
 

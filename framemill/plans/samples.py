@@ -98,7 +98,7 @@ _U = "CAST(CAST('0x' || substr(sha256(CAST({c} AS VARCHAR) || '/{s}'), 1, 12) AS
 
 @R.query(f"SELECT pair_id, CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.8 THEN 'b' ELSE 'c' END AS source FROM (SELECT pair_id, {_U.format(c='pair_id', s=1)} AS u FROM t2i_pairs)")
 def mixture_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """SMP-12, SMP-13, SMP-15, SMP-20, STR-24, STR-29, WIN-29: a weighted choice that is a function of the id and the seed."""
+    """SMP-12, SMP-13, SMP-15: a weighted choice that is a function of the id and the seed."""
     u = sampling.uniform(F.col("pair_id"), 1)
     return table(spark, d, "t2i_pairs").select("pair_id", sampling.weighted_choice(u, {"a": 5.0, "b": 3.0, "c": 2.0}).alias("source"))
 

@@ -158,7 +158,7 @@ def manifest_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"{_CUR} SELECT uuid, CASE WHEN reason IS NOT NULL AND reason <> 'no_valid_window' THEN reason WHEN CAST(uuid AS BIGINT) NOT IN (SELECT episode_index FROM action_policy_batch WHERE episode_index IS NOT NULL) THEN 'missing_control_path' ELSE reason END AS reason FROM r")
 def control_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-16, RDR-16, RDR-17: clips without a control file are dropped after the other checks of the clip."""
+    """SRC-16, RDR-17: clips without a control file are dropped after the other checks of the clip."""
     have = table(spark, d, "action_policy_batch").where("episode_index is not null").select(F.col("episode_index").cast("string").alias("span_uuid")).distinct()
     controls = have.withColumn("control_path", F.concat(F.lit("depth/"), "span_uuid"))
     return manifests.curated(_clips(spark, d), model="m", min_edge=360, min_frames=20, max_seconds=12.0, controls=controls).select("uuid", "reason")

@@ -40,7 +40,7 @@ def dense_caption_text(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT pair_id, coalesce(nullif(trim(CASE WHEN pair_id % 3 = 0 THEN ' ' ELSE extra_prompt END), ''), nullif(trim(model_mode), '')) AS caption FROM t2i_pairs""")
 def caption_priority(spark: SparkSession, d: str) -> DataFrame:
-    """SRT-08, STR-02, STR-23, STR-25..28: the first caption of a priority list that is not blank, from a map of named captions."""
+    """SRT-08, STR-02: the first caption of a priority list that is not blank, from a map of named captions."""
     m = F.create_map(F.lit("m1_enhanced_caption"), F.when(F.col("pair_id") % 3 == 0, F.lit(" ")).otherwise(F.col("extra_prompt")), F.lit("a_caption"), F.col("model_mode"))
     return table(spark, d, "t2i_pairs").select("pair_id", C.window_caption(m, "m2", "m1").alias("caption"))
 
@@ -176,7 +176,7 @@ def action_prompt_json(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT e.episode_index, t AS k, h AS row_no, w AS col_no FROM (SELECT episode_index FROM episodes) e, range(0, 2) a(t), range(0, 2) b(h), range(0, 3) c(w)")
 def grid_position_ids(spark: SparkSession, d: str) -> DataFrame:
-    """MTH-22: positions of a time-height-width grid."""
+    """Positions of a time-height-width grid, without offsets, frame rates or text."""
     e = table(spark, d, "episodes").select("episode_index")
     seq = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     return e.withColumn("k", seq(2)).withColumn("row_no", seq(2)).withColumn("col_no", seq(3))
