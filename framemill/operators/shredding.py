@@ -23,15 +23,23 @@ from framemill.session import spread
 
 LEAF = "leaf"
 
+#: Name of a leaf that takes what an object holds beside the shape, as one JSON object.
+REST = "*"
+
 #: Shape of a prompt record: dicts are objects, lists are arrays (a single value stands for an array of one).
 PROMPT_SHAPE = {
     "name": LEAF,
     "model_mode": LEAF,
     "seed": LEAF,
-    "extra": {"prompt": LEAF},
+    "extra": {"prompt": LEAF, "tags": [LEAF], REST: LEAF},
     "prompt": {
         "background_setting": LEAF,
         "aspect_ratio": LEAF,
+        "lighting": {"conditions": LEAF, "direction": LEAF, "shadows": LEAF, REST: LEAF},
+        "cinematography": {"camera_angle": LEAF, "framing": LEAF, REST: LEAF},
+        "resolution": {"H": LEAF, "W": LEAF, REST: LEAF},
+        "actions": [{"time": LEAF, "description": LEAF, REST: LEAF}],
+        "text_and_signage_elements": [{"category": LEAF, "text": LEAF, REST: LEAF}],
         "subjects": [
             {
                 "description": LEAF,
@@ -41,9 +49,12 @@ PROMPT_SHAPE = {
                 "number_of_subjects": LEAF,
                 "appearance_details": [LEAF],
                 "action": [LEAF],
+                REST: LEAF,
             }
         ],
+        REST: LEAF,
     },
+    REST: LEAF,
 }
 
 #: path, levels and value of the columns
@@ -57,6 +68,29 @@ def _text(value) -> str | None:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def _object(part):
+    """JSON carried as text is read."""
+    return parse(part)[1] if isinstance(part, str) else part
+
+
+def _rest(shape: dict, value: dict) -> dict | None:
+    """What the shape of an object has no place for: other names, and what is no object where the shape has one.
+
+    Of an array of objects the other elements are kept at their places, with nulls between.
+    """
+    out = {}
+    for name, part in value.items():
+        inner = shape.get(name) if name != REST else None
+        if inner is None or (isinstance(inner, dict) and not isinstance(_object(part), dict)):
+            out[name] = part
+        elif isinstance(inner, list) and isinstance(inner[0], dict):
+            slots = part if isinstance(part, list) else [part]
+            odd = [None if isinstance(x, dict) or is_blank(x) else x for x in slots]
+            if any(x is not None for x in odd):
+                out[name] = odd if isinstance(part, list) else part
+    return {k: v for k, v in out.items() if not is_blank(v)} or None
+
+
 class Shredder:
     """Shreds values of one shape; ``columns[path] = (rep, def, val)`` after each call."""
 
@@ -86,9 +120,9 @@ class Shredder:
         elif isinstance(shape, dict):
             for name, inner in shape.items():
                 below = f"{path}.{name}" if path else name
-                part = value.get(name)
-                if isinstance(inner, dict) and isinstance(part, str):
-                    part = parse(part)[1]
+                part = _rest(shape, value) if name == REST else value.get(name)
+                if isinstance(inner, dict):
+                    part = _object(part)
                 if isinstance(inner, dict) and not isinstance(part, dict):
                     self._missing(inner, below, r, d)
                 else:
@@ -217,25 +251,43 @@ def _count(step: np.ndarray, restart: np.ndarray) -> tuple[np.ndarray, np.ndarra
 SUBJECT = "prompt.subjects[]"
 
 
+def _column(path: str) -> str:
+    """Name of a leaf in its table: its path below the prompt or the array's element."""
+    below = path.rsplit("[].", 1)[-1] if "[]." in path else path.removeprefix("prompt.") if path != f"prompt.{REST}" else path
+    return below.replace(REST, "rest").replace(".", "_")
+
+
 def flat_tables(records: DataFrame, shape: dict = PROMPT_SHAPE) -> dict[str, DataFrame]:
-    """Four tables of the records: records, subjects, appearance_details and action, linked by record_key and subject_pos."""
+    """Tables of the records, linked by record_key and subject_pos: records, subjects and their appearance_details and action.
+
+    Further tables have a row per element of each other array of the record (actions, text_and_signage_elements,
+    tags), with its place ``pos``. Columns ``rest`` hold what the shape does not name, as JSON.
+    """
     found = entries(shred(records, shape))
-    names = {p: p.rsplit(".", 1)[-1] for p, _ in _leaves(shape, "")}
+    names = {p: _column(p) for p, _ in _leaves(shape, "")}
 
-    def wide(keys: list[str], paths: list[str]) -> DataFrame:
-        cols = [F.max(F.when(F.col("path") == p, F.col("value"))).alias(names[p] if p != "extra.prompt" else "extra_prompt") for p in paths]
-        return found.where(F.col("path").isin([*paths, SUBJECT] if "subject_pos" in keys else paths)).groupBy(*keys).agg(F.max("record_id").alias("record_id"), *cols)
+    def wide(keys: list[str], paths: list[str], element: str | None = None) -> DataFrame:
+        cols = [F.max(F.when(F.col("path") == p, F.col("value"))).alias(names[p]) for p in paths]
+        return found.where(F.col("path").isin([*paths, *([element] if element else [])])).groupBy(*keys).agg(F.max("record_id").alias("record_id"), *cols)
 
     def child(path: str) -> DataFrame:
         rows = found.where(F.col("path") == path)
         fields = [F.get_json_object("value", f"$.{k}").alias(k) for k in ("time", "description")]
         return rows.select("record_key", "record_id", "subject_pos", "child_pos", "value", *fields)
 
-    top = [p for p in names if "[]" not in p]
-    of_subject = [p for p in names if p.startswith(SUBJECT + ".") and not p.endswith("[]")]
+    def fields_of(element: str) -> list[str]:
+        return [p for p in names if p.startswith(element + ".") and not p.endswith("[]")]
+
+    def elements(path: str) -> DataFrame:
+        if fields_of(path):
+            return wide(["record_key", "subject_pos"], fields_of(path), path).withColumnRenamed("subject_pos", "pos")
+        return found.where(F.col("path") == path).select("record_key", "record_id", F.col("subject_pos").alias("pos"), "value")
+
+    arrays = [p for p in names if p.endswith("[]") and p.count("[]") == 1 and p != SUBJECT]
     return {
-        "records": wide(["record_key"], top),
-        "subjects": wide(["record_key", "subject_pos"], of_subject),
+        "records": wide(["record_key"], [p for p in names if "[]" not in p]),
+        "subjects": wide(["record_key", "subject_pos"], fields_of(SUBJECT), SUBJECT),
         "appearance_details": child(SUBJECT + ".appearance_details[]"),
         "action": child(SUBJECT + ".action[]"),
+        **{p.rsplit(".", 1)[-1].removesuffix("[]"): elements(p) for p in arrays},
     }

@@ -107,3 +107,22 @@ def test_levels():
     cols = Shredder(PROMPT_SHAPE)({"prompt": {"subjects": [{"action": ["a", None]}, None, {"action": "b"}]}})
     rep, defs, vals = cols[f"{SUBJECT}.action[]"]
     assert rep == [0, 2, 1, 1] and vals == ["a", None, None, "b"] and len(set(defs)) == 3
+
+
+def test_nothing_of_a_record_is_lost(spark):
+    prompt = {
+        "background_setting": "b", "lighting": {"direction": "left", "haze": 3}, "cinematography": "plain", "resolution": {"H": 720, "W": 480},
+        "actions": [{"time": "0:00", "description": "a"}, None, {"description": "c", "who": ["x"]}], "text_and_signage_elements": [{"category": "sign", "text": "Exit"}],
+        "subjects": ["none", {"description": "d", "mood": "calm"}], "weather": {"sky": "grey"},
+    }
+    raw = json.dumps({"t2i": {"name": "n", "seed": 5, "version": 2, "extra": {"prompt": "q", "tags": ["r", "", "s"], "by": "z"}, "prompt": prompt}})
+    df = spark.createDataFrame([(1, "n", raw, T, "clash", 1)], SCHEMA)
+    t = {k: [r.asDict() for r in v.collect()] for k, v in flat_tables(df).items()}
+    (r,) = t["records"]
+    assert (r["lighting_direction"], r["lighting_rest"], r["resolution_H"], r["resolution_W"]) == ("left", '{"haze":3}', "720", "480")
+    assert json.loads(r["prompt_rest"]) == {"cinematography": "plain", "weather": {"sky": "grey"}, "subjects": ["none", None]}
+    assert (r["rest"], r["extra_rest"], r["extra_prompt"]) == ('{"version":2}', '{"by":"z"}', "q")
+    assert {(x["pos"], x["time"], x["description"], x["rest"]) for x in t["actions"]} == {(0, "0:00", "a", None), (2, None, "c", '{"who":["x"]}')}
+    assert [(x["pos"], x["category"], x["text"]) for x in t["text_and_signage_elements"]] == [(0, "sign", "Exit")]
+    assert {(x["pos"], x["value"]) for x in t["tags"]} == {(0, "r"), (2, "s")}
+    assert [(x["subject_pos"], x["rest"]) for x in t["subjects"]] == [(1, '{"mood":"calm"}')]
