@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framemill.operators import episodic, segments
+from framemill.operators import episodic, lookups, segments
 from framemill.plans.base import ENDS, STEPS, steps
 from framemill.plans.registry import Registry
 from framemill.session import broadcast_if_small, table
@@ -244,13 +244,36 @@ def uniform_sampling_check(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""WITH {STEPS}, ends AS (SELECT ep, min(i) AS a, max(i) AS z FROM steps GROUP BY ep), k AS (SELECT ep, a, z, unnest(range(0, 9)) AS k FROM ends)
   SELECT ep, k, least(z, a + CAST(floor(k * fps / 4.0 + 0.5 - 1e-9) AS BIGINT)) AS i FROM k JOIN episodes ON episode_index = ep WHERE fps IS NOT NULL""")
 def resample_target_rate(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-32: rows nearest to target times at 4 per second, ties to the earlier row, clamped to the last."""
+    """Rows at 4 per second by index and fps alone, as the SQL says it; timestamps are not read. WIN-32 is ``resample_nearest_time``."""
     ends = episodic.bounds(steps(spark, d), ["ep"], "i").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))))
     e = broadcast_if_small(table(spark, d, "episodes").where("fps is not null").select(F.col("episode_index").alias("ep"), "fps"), 64)
     near = F.floor(F.col("k") * F.col("fps") / 4.0 + 0.5 - 1e-9)
     return ends.join(e, "ep").select("ep", "k", F.least(F.col("stop") - 1, F.col("start") + near).alias("i"))
 
 
+@R.query(f"""WITH {STEPS}, fps AS (SELECT episode_index AS ep, max(fps) AS fps FROM episodes GROUP BY 1),
+  timed AS (SELECT ep, i, CAST(floor(t * 1000000 + 0.5) AS BIGINT) AS us FROM (SELECT ep, i, coalesce(CASE WHEN NOT isnan(ts) THEN ts END, i / fps) AS t FROM steps LEFT JOIN fps USING (ep)) WHERE t IS NOT NULL), first AS (SELECT ep, min(us) AS t0 FROM timed GROUP BY ep),
+  k AS (SELECT ep, t0, unnest(range(0, 9)) AS k FROM first), near AS (SELECT k.ep, k, i, row_number() OVER (PARTITION BY k.ep, k ORDER BY abs(us - t0 - k * 250000), us, i) AS place FROM k JOIN timed USING (ep))
+  SELECT ep, k, i FROM near WHERE place = 1""")
+def resample_nearest_time(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-32: rows nearest in time to target times at 4 per second from the first timestamp, ties to the earlier row, clamped to the last.
+
+    Times are whole microseconds; a row without a timestamp stands at its index over fps. Of each target the rows within half a second are looked up by time;
+    targets with none there, in a gap or past the end, take the nearer of the last row before and the first after.
+    """
+    fps = broadcast_if_small(table(spark, d, "episodes").groupBy(F.col("episode_index").alias("ep")).agg(F.max("fps").alias("fps")), 64)
+    time = F.coalesce(F.when(~F.isnan("ts"), F.col("ts")), F.col("i") / F.col("fps"))
+    us = F.floor(time * 1_000_000 + 0.5).cast("bigint")
+    timed = steps(spark, d).join(fps, "ep", "left").select("ep", "i", us.alias("us")).where("us is not null")
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint")))
+    targets = timed.groupBy("ep").agg(F.min("us").alias("t0")).withColumn("k", k).select("ep", "k", (F.col("t0") + F.col("k") * 250_000).alias("at"))
+    near = lookups.asof_nearest(targets, timed, ["ep"], "at", "us", 500_000, ["us", "i"], ["ep", "k"], strict=False)
+    rest = near.where("gap is null").select("ep", "k", "at")
+    gap = F.abs(F.col("us") - F.col("at"))
+    far = rest.join(timed, "ep").groupBy("ep", "k").agg(F.min(F.struct(gap.alias("g"), "us", "i")).alias("best")).select("ep", "k", "best.i")
+    return near.where("gap is not null").select("ep", "k", F.col("i_near").alias("i")).unionByName(far)
+
+
 @R.query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i FROM events""")
 def frame_index_assign(spark: SparkSession, d: str) -> DataFrame:
     """SNK-01: numbers of rows in the order of their episode, for episodes of any length."""
