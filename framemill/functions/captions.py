@@ -54,9 +54,13 @@ def view_sentence(view: Column) -> Column:
     return F.try_element_at(table, view)
 
 
+#: White space at either end, as ``str.strip`` knows it, in words that both engines read alike.
+OUTER_SPACE = r"\A[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+\z"
+
+
 def dense_text(raw: Column) -> Column:
-    """Plain captions end with exactly one full stop; JSON is kept word for word."""
-    bare = F.trim(raw)
+    """Plain captions end with exactly one full stop; JSON is kept word for word. White space of any kind around either goes."""
+    bare = F.regexp_replace(raw, OUTER_SPACE, "")
     return F.when(bare.startswith("{"), bare).otherwise(F.concat(F.regexp_replace(bare, r"\.+$", ""), F.lit(".")))
 
 

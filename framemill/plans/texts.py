@@ -34,10 +34,16 @@ def size_idle_view_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT pair_id, CASE WHEN starts_with(trim(prompt), '{') THEN trim(prompt) ELSE regexp_replace(trim(prompt), '\\.+$', '') || '.' END AS caption FROM t2i_pairs WHERE prompt IS NOT NULL AND NOT regexp_matches(prompt, '\\s$|^\\s')""")
 def dense_caption_text(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01, S20."""
+    """STR-01, S20 for prompts without white space at their ends, as the SQL has it; ``dense_caption_all`` has every prompt."""
     return table(spark, d, "t2i_pairs").where("prompt is not null").where(~F.col("prompt").rlike(r"\s$|^\s")).select("pair_id", C.dense_text(F.col("prompt")).alias("caption"))
 
 
+@R.query(f"""SELECT pair_id, CASE WHEN starts_with(t, '{{') THEN t ELSE rtrim(t, '.') || '.' END AS caption FROM (SELECT pair_id, regexp_replace(prompt, '{C.OUTER_SPACE}', '', 'g') AS t FROM t2i_pairs WHERE prompt IS NOT NULL)""")
+def dense_caption_all(spark: SparkSession, d: str) -> DataFrame:
+    """STR-01, S20: every prompt that is not null."""
+    return table(spark, d, "t2i_pairs").where("prompt is not null").select("pair_id", C.dense_text(F.col("prompt")).alias("caption"))
+
+
 @R.query("""SELECT pair_id, coalesce(nullif(trim(CASE WHEN pair_id % 3 = 0 THEN ' ' ELSE extra_prompt END), ''), nullif(trim(model_mode), '')) AS caption FROM t2i_pairs""")
 def caption_priority(spark: SparkSession, d: str) -> DataFrame:
     """SRT-08, STR-02: the first caption of a priority list that is not blank, from a map of named captions."""
