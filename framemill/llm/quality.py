@@ -1,368 +1,200 @@
-"""Statistics of text quality for each document, exact ranks by language, and outlier scores."""
+"""Statistics of text quality for each document, exact ranks by language, and the outliers that tail probabilities tell."""
 
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framemill.llm import language, textstats
+from framemill.llm.textstats import STATS
 from framemill.operators.ordering import placed
-from framemill.session import spread, stored
+from framemill.session import broadcast_if_small, fits_broadcast, spread, stored
 
-# Frequent function words of the languages told apart, and the signs of Chinese that serve as such.
-COMMON = {
-    "en": "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if when will would who so no what up into than them only some could these then now its over such our after also did many before must through where much your down should because each just those people how too any while under until near between along across without behind beside inside here".split(),
-    "fr": "le la les de des du un une et en est que qui dans pour pas sur au aux avec ce se il elle sont par plus ne son sa ses ou mais comme tout nous vous leur cette sans sous à l d s n".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis ohne unter neben während bevor".split(),
-    "es": "el la los las de del un una y en que a por con no se su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy antes bajo mientras".split(),
-}
-COMMON_SIGNS = "的一是不在了有和人这中上个把到没在被与及并从也为对以于就后前里着过地得"
-
-#: Statistics, in the order of the result.
-STATS = (
-    "n_chars", "n_words", "n_lines", "mean_word_len", "alpha_ratio", "digit_ratio", "symbol_ratio", "space_ratio",
-    "line_end_ratio", "common_share", "distinct_share", "repeat_ratio", "mean_line_words", "prose_share", "item_share",
-    "field_share", "sentence_share", "run_share", "odd_ratio", "long_share", "compress_ratio",
-)
 #: Statistics that are ranked, and the tail that speaks against prose.
 TAILS = {
-    "alpha_ratio": "low", "digit_ratio": "high", "symbol_ratio": "high", "line_end_ratio": "low", "common_share": "low",
-    "distinct_share": "low", "repeat_ratio": "high", "mean_line_words": "low", "prose_share": "low", "item_share": "high",
-    "field_share": "high", "sentence_share": "low", "run_share": "high", "odd_ratio": "high", "long_share": "high",
-    "mean_word_len": "both", "compress_ratio": "both",
+    "alpha_ratio": "low", "digit_ratio": "high", "symbol_ratio": "high", "space_ratio": "low", "line_end_ratio": "low",
+    "common_share": "low", "distinct_share": "low", "repeat_ratio": "high", "mean_line_words": "low", "prose_share": "low",
+    "item_share": "high", "item_lines": "high", "field_share": "high", "field_lines": "high", "sentence_share": "low",
+    "run_share": "high", "odd_ratio": "high", "long_share": "high", "mean_word_len": "both", "compress_ratio": "both",
 }
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_BULLET = re.compile(r"^\s*(?:[-*+•‣◦▪·–—]|\d{1,3}[.)]|\([A-Za-z0-9]{1,3}\)|[A-Za-z][.)]|\[[ xX✓✔]\]|[☐☑✓✔])\s+(?=\S)")
-_END = re.compile(r"[.!?。！？…:：][\"'”’»)\]*_`]*$")
-_SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)\]*_`<]|$)|[。！？]")
-_FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
-#: A sign of a sentence or clause inside a line.
-_INNER = re.compile(r"[.?!,:;]\s+\S|[。？！，]\S")
-_GAP = re.compile(r" {2,}|\t")
-_RULE = re.compile(r"[\s|+:=\-_─-╿]+")
-_LATIN_RUN = re.compile(r"[^\s぀-ヿ㐀-鿿가-힯　-〿＀-￯]{31,}")
-
-#: Control, private, unassigned and replacement characters, among them what wrongly decoded UTF-8 leaves.
-_ODD = regex.compile(r"[^\P{C}\p{Cf}\t\n\r]|\uFFFD")
-
-#: Words of a line without a final sign up to which it is a label.
-LABEL_WORDS = 8
-#: Words from which a line of several sentences is running text, whatever sign it begins with.
-LONG_ITEM = 25
-#: Share of words (or lines) that makes a text mostly one thing.
+#: Statistics whose tails a list, a table and junk have in common.
+LIST = ("item_share", "item_lines", "prose_share")
+TABLE = ("field_share", "field_lines", "prose_share")
+JUNK = (
+    "alpha_ratio", "symbol_ratio", "digit_ratio", "common_share", "distinct_share", "repeat_ratio", "run_share", "odd_ratio",
+    "long_share", "mean_word_len", "compress_ratio", "space_ratio",
+)
+#: Junk is bad in one of several ways: of its tails so many count, those furthest out.
+FURTHEST = 5
+#: A text is an outlier of a kind when its combined surprise is at least this part of -ln(share of such texts in its language).
+OUTLIER = {"table": 0.86, "list": 0.91, "junk": 0.93}
+#: Share of a text that makes it mostly one thing; used for the shares of kinds in a language alone, never for a text.
 MOSTLY = 0.5
-
-
-def tokens(text: str) -> list[str]:
-    """Words in lower case; characters of scripts without word spaces are words."""
-    found = _WORD.findall(text.lower())
-    if not _CJK.search(text):
-        return found
-    return [c for w in found for c in (w if _CJK.search(w) else (w,))]
-
-
-def n_tokens(text: str) -> int:
-    """As many as ``tokens`` gives."""
-    found = _WORD.findall(text)
-    return len(found) if not _CJK.search(text) else sum(len(w) if _CJK.search(w) else 1 for w in found)
-
-
-def is_common(word: str) -> bool:
-    return word in _COMMON_ALL or word in COMMON_SIGNS
-
-
-_COMMON_ALL = {w for words in COMMON.values() for w in words}
-
-
-def _fields(line: str) -> dict[str, int]:
-    """Number of fields of a line for each separator that could cut it."""
-    bare = line.strip()
-    low = bare.lower()
-    if low.startswith(("<tr", "<td", "<th", "</tr", "<table", "</table", "<tbody", "</tbody", "<thead", "</thead")):
-        return {"<td>": max(2, low.count("<td") + low.count("<th"))}
-    outside = re.sub(r"\"[^\"]*\"", '""', bare)
-    found = {}
-    for sep in "\t|│┃;,":
-        n = outside.count(sep)
-        if n:
-            found["|" if sep in "│┃" else sep] = n + 1 - 2 * (bare[0] == sep and bare[-1] == sep and n > 1)
-    gaps = len(_GAP.findall(bare))
-    if gaps:
-        found["  "] = gaps + 1
-    return found
-
-
-def table_lines(lines: list[str]) -> list[bool]:
-    """Which lines are rows of fields: lines cut by one separator into about as many fields as most lines it cuts.
-
-    Commas and blanks also stand in prose, so there a field must be short and the row have three fields or more.
-    """
-    found = [_fields(x) for x in lines]
-    best: list[bool] = [False] * len(lines)
-    for sep in {k for f in found for k in f}:
-        at = [i for i, f in enumerate(found) if sep in f]
-        least = 3 if sep in (",", "  ", ";") else 2
-        counts = Counter(found[i][sep] for i in at if found[i][sep] >= least)
-        if not counts:
-            continue
-        usual = counts.most_common(1)[0][0]
-        near = [i for i in at if abs(found[i][sep] - usual) <= (2 if sep == "  " else 1) and found[i][sep] >= min(least, usual)]
-        if sep in (",", "  ", ";"):
-            near = [i for i in near if n_tokens(lines[i]) <= 5 * found[i][sep] and not (sep == "," and re.search(r",\s\w", re.sub(r"\"[^\"]*\"", "", lines[i])))]
-        if len(near) >= 3 and len(near) >= 0.6 * len(at) and len(near) > sum(best):
-            best = [False] * len(lines)
-            for i in near:
-                best[i] = True
-    if any(best):
-        for i, x in enumerate(lines):
-            if _RULE.fullmatch(x.strip()):
-                best[i] = True
-    return best
-
-
-def structure(text: str) -> dict[str, float]:
-    """Shares of the words, and of the lines, that stand in running text, separate items and rows of fields.
-
-    Code between fences counts for nothing. A line is an item when it begins with a list sign, or is
-    a label: a few words without a final sign, not the wrapped end of a sentence.
-    """
-    text = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
-    lines = [x for x in text.split("\n") if x.strip()]
-    rows = table_lines(lines)
-    kinds: list[str] = []
-    sizes: list[int] = []
-    ended = 0
-    wide = sorted(len(x) for x in lines)[len(lines) // 2] if lines else 0
-    for line, row in zip(lines, rows):
-        bare = re.sub(r"^[>\s]+", "", line).strip()
-        n = n_tokens(bare)
-        end = bool(_END.search(bare))
-        ended += end
-        if row:
-            kind = "field"
-        elif _BULLET.match(line) and not (n > LONG_ITEM and len(_SENTENCE.findall(bare)) > 2):
-            kind = "item"
-        elif bare.startswith("#") or end:
-            kind = "prose"
-        elif n <= LABEL_WORDS and not (wide > 50 and len(line) > 0.7 * wide):
-            kind = "label"
-        else:
-            kind = "prose"
-        kinds.append(kind)
-        sizes.append(n)
-    # labels in a row are items, unless sentences run on from line to line
-    at = 0
-    for kind, group in groupby(list(kinds)):
-        n = len(list(group))
-        if kind == "label":
-            broken = sum(1 for x in lines[at : at + n] if _INNER.search(x.strip()))
-            kinds[at : at + n] = ["prose" if broken >= 0.2 * n else "item"] * n
-        at += n
-    words = {k: sum(z for z, x in zip(sizes, kinds) if x == k) for k in ("prose", "item", "field")}
-    count = {k: kinds.count(k) for k in words}
-    total, n_lines = max(1, sum(words.values())), max(1, len(lines))
-    out = {f"{k}_share": v / total for k, v in words.items()}
-    return out | {f"{k}_lines": v / n_lines for k, v in count.items()} | {"line_end_ratio": ended / n_lines, "lines": len(lines)}
-
-
-def measure(text: str) -> tuple[dict[str, float], list[str]]:
-    """All statistics of one text, over the whole of it, and its words."""
-    n = len(text)
-    words = tokens(text)
-    s = structure(text)
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
-    spaces = sum(map(str.isspace, text))
-    odd = 0 if text.isprintable() and "\ufffd" not in text else len(_ODD.findall(text))
-    counts = Counter(words)
-    m = len(words)
-    plain = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
-    last = max((x.end() for x in _SENTENCE.finditer(plain)), default=0)
-    raw = text.encode("utf-8", "surrogatepass")
-    part = lambda k: k / n if n else 0.0
-    stats = {
-        "n_chars": n,
-        "n_words": m,
-        "n_lines": s["lines"],
-        "mean_word_len": sum(map(len, words)) / m if m else 0.0,
-        "alpha_ratio": part(letters),
-        "digit_ratio": part(digits),
-        "symbol_ratio": part(max(0, n - letters - digits - spaces)),
-        "space_ratio": part(spaces),
-        "line_end_ratio": s["line_end_ratio"],
-        "common_share": sum(k for w, k in counts.items() if is_common(w)) / m if m else 0.0,
-        "distinct_share": len(counts) / m if m else 0.0,
-        "repeat_ratio": 1 - len(set(zip(words, words[1:]))) / (m - 1) if m > 1 else 0.0,
-        "mean_line_words": m / s["lines"] if s["lines"] else 0.0,
-        "prose_share": s["prose_share"],
-        "item_share": s["item_share"],
-        "field_share": s["field_share"],
-        "sentence_share": n_tokens(plain[:last]) / m if m else 0.0,
-        "run_share": max((sum(1 for _ in g) for _, g in groupby(words)), default=0) / m if m > 1 else 0.0,
-        "odd_ratio": part(odd),
-        "long_share": part(sum(len(x) for x in _LATIN_RUN.findall(text))),
-        "compress_ratio": len(zlib.compress(raw, 6)) / len(raw) if raw else 0.0,
-        "item_lines": s["item_lines"],
-        "field_lines": s["field_lines"],
-    }
-    return stats, words
-
-
-def language_of(words: list[str], given: str | None) -> str | None:
-    """Language by function words, Chinese by its signs; else the given one; null where neither says."""
-    if not words:
-        return given
-    if sum(1 for w in words if _CJK.match(w)) > 0.3 * len(words):
-        return "zh"
-    hits = {lang: sum(1 for w in words if w in known) for lang, known in _COMMON_SETS.items()}
-    best = max(hits, key=lambda k: (hits[k], k))
-    return best if hits[best] >= 0.2 * len(words) else given
-
-
-_COMMON_SETS = {lang: set(words) for lang, words in COMMON.items()}
-
-_COLUMNS = (*STATS, "item_lines", "field_lines")
-MEASURED = "row bigint, doc_id bigint, language string, text_key binary, " + ", ".join(f"{c} double" for c in _COLUMNS)
+#: Distinct texts from which a language is ranked by itself, else among the whole corpus.
+LEAST_RANKED = 100
+#: Decimals to which statistics are recorded and ranked.
+DECIMALS = 4
+_TEXT = ["language", "text_key"]
+MEASURED = "row bigint, doc_id bigint, language string, text_key binary, " + ", ".join(f"{c} double" for c in STATS)
 
 
 def measured(documents: DataFrame) -> DataFrame:
     """All statistics of each document: (row, doc_id, language, text_key, ...). ``row`` tells rows of equal ids apart, ``text_key`` texts.
 
-    A null text is measured like an empty one: all statistics are 0. The language is told by
-    function words, else taken from ``lang``, else the most frequent language of the corpus.
-    Texts are read whole; other columns are not read.
+    A null text is measured like an empty one: all statistics are 0. The language is the one with the greatest
+    posterior of a character n-gram model, fitted on a bounded sample of the labels in ``lang``; a text of no
+    language (or a corpus without labels) is counted with the most frequent one. Texts are read whole; other
+    columns are not read.
     """
+    model = language.fit(documents, "lang", "text", "doc_id")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        names = np.array([*known.languages, None], dtype=object)
         for pdf in batches:
-            rows = []
-            for row, doc, lang, text in zip(pdf["row"].tolist(), pdf["doc_id"].tolist(), pdf["lang"], pdf["text"]):
-                text = text or ""
-                m, words = measure(text)
-                given = (lang or "").strip().lower()[:2] or None
-                key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((row, doc, language_of(words, given), key, *(round(float(m[c]), 6) for c in _COLUMNS)))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "language", "text_key", *_COLUMNS]).astype({"row": "int64", "doc_id": "Int64"})
-
-    read = spread(documents.select("doc_id", "lang", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+            texts = [t or "" for t in pdf["text"]]
+            share = known.posteriors(texts)
+            told = np.where(share.any(1), names[share.argmax(1)], None)
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            stats = {k: v.round(DECIMALS) for k, v in textstats.measure(texts).items()}
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "language": told, "text_key": keys, **stats})
+
+    read = spread(documents.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     out = stored(read.mapInPandas(run, MEASURED), "measured")
     main = out.where("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(1)
     first = main.first()
-    return out.withColumn("language", F.coalesce("language", F.lit(first["language"] if first else "und")))
-
+    return out.withColumn("language", F.coalesce("language", F.lit(first["language"] if first else language.NONE)))
 
-def tails(stats: DataFrame, population: DataFrame | None = None) -> DataFrame:
-    """(row, stat, p): for each ranked statistic the share of the language's documents at least as far out.
 
-    They are counted among ``population``, which holds the rows of ``stats`` and maybe more; without it, among ``stats``.
+def ranks(population: DataFrame) -> DataFrame:
+    """(language, stat, value, n, p, upto): each value that occurs, how many rows have it, its tail probability, and the share of rows up to it.
 
-    Exact: the distinct values of each language and statistic are sorted over range partitions, each
-    counts its own, and one offset per partition turns counts into ranks; equal values share theirs.
-    Values that many documents share meet their rows in a broadcast (at most 100 for each language
-    and statistic), all others in a join without hot keys.
+    The tail probability is the share of the language's rows at least as far out; equal values share theirs. Exact: the distinct values
+    of each language and statistic are sorted over range partitions, each counts its own, and one offset per
+    partition turns counts into ranks.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(TAILS)])).alias("s")
-    values = lambda df: df.select("row", "language", pairs).select("row", "language", "s.stat", "s.value")
-    long = values(stats)
-    distinct = (long if population is None else values(population)).groupBy("language", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    distinct = population.select("language", pairs).groupBy("language", "s.stat", "s.value").agg(F.count(F.lit(1)).alias("n"))
     ranked = placed(distinct, [F.col("language"), F.col("stat"), F.col("value")], "ranks")
     inside = Window.partitionBy("_part", "language", "stat").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = ranked.groupBy("language", "stat", "_part").agg(F.sum("n").alias("m"))
     before = Window.partitionBy("language", "stat").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("language", "stat")
+    # a row for each partition and each language and statistic in it
     offsets = totals.select("language", "stat", "_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), F.sum("m").over(every).alias("total"))
-    upto = ranked.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(offsets), ["language", "stat", "_part"])
-    low = (F.col("upto") + F.col("base")) / F.col("total")
-    high = (F.col("total") - F.col("upto") - F.col("base") + F.col("n")) / F.col("total")
+    counted = ranked.withColumn("inside", F.sum("n").over(inside)).join(broadcast_if_small(offsets, 96), ["language", "stat", "_part"])
+    low = (F.col("inside") + F.col("base")) / F.col("total")
+    high = (F.col("total") - F.col("inside") - F.col("base") + F.col("n")) / F.col("total")
     side = F.element_at(F.array(*[F.lit(v) for v in TAILS.values()]), F.col("stat") + 1)
     p = F.when(side == "low", low).when(side == "high", high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    known = stored(upto.select("language", "stat", "value", p.alias("p"), (F.col("n") > 0.01 * F.col("total")).alias("hot")), "tails")
+    return stored(counted.select("language", "stat", "value", "n", p.alias("p"), low.alias("upto"), (F.col("n") > 0.01 * F.col("total")).alias("hot")), "tails")
+
+
+def tails(stats: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, stat, p): the tail probability of each ranked statistic of each row of ``stats``.
+
+    The ranks meet the rows in a broadcast while their counted number allows it. Beyond that, values that many rows
+    share (at most 100 for each language and statistic) do, all others meet in a join without hot keys.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(TAILS)])).alias("s")
+    long = stats.select("row", "language", pairs).select("row", "language", "s.stat", "s.value")
     keys = ["language", "stat", "value"]
-    hot = long.join(F.broadcast(known.where("hot").drop("hot").withColumnRenamed("p", "hp")), keys, "left")
+    table = known.select(*keys, "p")
+    if fits_broadcast(table, 96):
+        return long.join(F.broadcast(table), keys).select("row", "stat", "p")
+    hot = long.join(F.broadcast(known.where("hot").select(*keys, F.col("p").alias("hp"))), keys, "left")
     easy = hot.where("hp is not null").select("row", "stat", F.col("hp").alias("p"))
-    rest = hot.where("hp is null").select("row", *keys).join(known.where("not hot").drop("hot"), keys).select("row", "stat", "p")
-    return easy.union(rest)
+    return easy.union(hot.where("hp is null").select("row", *keys).join(known.where("not hot").select(*keys, "p"), keys).select("row", "stat", "p"))
 
 
-#: Mean of -ln p over all ranked statistics, and over the three furthest out, from which a document is an outlier.
-OUTLIER, PEAK = 0.7, 1.5
-#: Distinct texts from which a language with known function words is ranked by itself, else among the whole corpus.
-LEAST_RANKED = 100
-LISTED = (*COMMON, "zh")
-_TEXT = ["language", "text_key"]
+def kind_shares(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(language, kind columns): the share of a language's distinct texts that are mostly rows of fields, mostly items, or hardly words of it.
+
+    What is hardly words of a language: a share of common words below half its median (which the ranks give), fewer letters than other
+    signs, or word pairs that are nearly all repeated. The shares say how rare an outlier of a kind may be.
+    """
+    at = list(TAILS).index("common_share")
+    median = known.where((F.col("stat") == at) & (F.col("upto") >= 0.5)).groupBy("language").agg(F.min("value").alias("median"))
+    c = F.col
+    table = c("field_share") >= MOSTLY
+    items = ~table & (c("item_share") >= MOSTLY)
+    bare = ~table & ~items & ((c("common_share") < MOSTLY * c("median")) | (c("alpha_ratio") < MOSTLY) | (c("repeat_ratio") >= 0.9))
+    part = lambda mask: F.avg(mask.cast("double"))
+    met = texts.join(broadcast_if_small(median, 64), "language", "left")
+    return met.groupBy("language").agg(part(table).alias("table"), part(items).alias("list"), part(F.coalesce(bare, F.lit(False))).alias("junk"))
 
 
 def scores(stats: DataFrame) -> DataFrame:
-    """(language, text_key, copies, score, peak, p_common): mean surprise over all ranked statistics and over the three furthest out.
+    """(language, text_key, copies, score, peak, table_score, list_score, junk_score, kind) of each distinct text.
 
-    Each text is ranked and counted once, however many rows hold it. A language of ``LISTED`` with too few texts to
-    rank is ranked among the whole corpus; others are not, as their prose has none of the words that are counted.
+    Each text with a word is ranked and counted once, however many rows hold it (others have no scores); a language with too few texts to rank is
+    ranked among the whole corpus. ``score`` is the mean surprise, -ln p, over all ranked statistics, ``peak`` over
+    the three furthest out; the scores of the kinds are those of their statistics' tails: the mean for lists and
+    tables, for junk that of the furthest ones and of the common words.
     """
-    texts = stored(stats.groupBy(*_TEXT).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in TAILS]), "texts")
-    few = texts.where(F.col("language").isin(*LISTED)).groupBy("language").count().where(F.col("count") < LEAST_RANKED)
-    small = F.col("language").isin([r["language"] for r in few.collect()])
-    own, every = texts.where(~small), texts.withColumn("language", F.lit("*"))
-    ranks = tails(own.union(every.join(texts.where(small).select("row"), "row", "left_semi").select(own.columns)), own.union(every)) if not few.isEmpty() else tails(texts)
-    surprise = -F.ln("p")
-    common = list(TAILS).index("common_share")
-    out = ranks.groupBy("row").agg(
-        F.avg(surprise).alias("score"),
-        F.expr("aggregate(slice(sort_array(collect_list(-ln(p)), false), 1, 3), 0D, (a, x) -> a + x) / 3").alias("peak"),
-        F.min(F.when(F.col("stat") == common, F.col("p"))).alias("p_common"),
+    texts = stored(stats.groupBy(*_TEXT).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in TAILS]), "texts")
+    ranked = texts.where("n_words > 0")
+    few = stored(ranked.groupBy("language").count().where(F.col("count") < LEAST_RANKED).select("language"), "few")
+    mine, population = ranked, ranked
+    if not few.isEmpty():
+        small = broadcast_if_small(few, 64)
+        every = ranked.withColumn("language", F.lit("*"))
+        own = ranked.join(small, "language", "left_anti")
+        mine = own.unionByName(every.join(ranked.join(small, "language", "left_semi").select("row"), "row", "left_semi"))
+        population = own.unionByName(every)
+    known = ranks(population)
+    shares = kind_shares(population, known)
+    s = -F.ln("p")
+    number = {c: i for i, c in enumerate(TAILS)}
+    of = lambda names: F.avg(F.when(F.col("stat").isin([number[c] for c in names]), s))
+    furthest = lambda only, n: F.aggregate(F.slice(F.sort_array(F.collect_list(only), asc=False), 1, n), F.lit(0.0), lambda a, x: a + x) / n
+    out = tails(mine, known).groupBy("row").agg(
+        F.avg(s).alias("score"),
+        furthest(s, 3).alias("peak"),
+        of(TABLE).alias("table_score"),
+        of(LIST).alias("list_score"),
+        ((furthest(F.when(F.col("stat").isin([number[c] for c in JUNK]), s), FURTHEST) + F.max(F.when(F.col("stat") == number["common_share"], s))) / 2).alias("junk_score"),
     )
-    return texts.select("row", *_TEXT, "copies").join(out, "row").drop("row")
+    met = mine.select("row", F.col("language").alias("ranked_as")).join(out, "row")
+    met = met.join(broadcast_if_small(shares.withColumnRenamed("language", "ranked_as"), 96), "ranked_as").drop("ranked_as")
+    return texts.select("row", *_TEXT, "copies", "n_words").join(met, "row", "left").withColumn("kind", kind_of()).drop("row", "n_words", *OUTLIER)
+
+
+def kind_of() -> Column:
+    """The kind whose tails make a text an outlier, tables first, then lists; null for prose, even if it is unusual."""
+    over = lambda k: (F.col(k) > 0) & (F.col(f"{k}_score") > 0) & (F.col(f"{k}_score") >= -OUTLIER[k] * F.ln(k))
+    out = F.when(F.col("n_words") == 0, "junk")
+    for k in OUTLIER:
+        out = out.when(over(k), k)
+    return out
 
 
 def with_scores(stats: DataFrame) -> DataFrame:
     """``stats`` with the scores of their texts; texts that many rows share (at most 100) meet their rows in a broadcast."""
     known = stored(scores(stats), "scores")
     many = F.col("copies") > 0.01 * stats.count()
-    packed = known.where(many).select(*_TEXT, F.struct("score", "peak", "p_common").alias("_s"))
+    told = ("score", "peak", "table_score", "list_score", "junk_score", "kind")
+    packed = known.where(many).select(*_TEXT, F.struct(*told).alias("_s"))
     met = stats.join(F.broadcast(packed), _TEXT, "left")
     rest = met.where("_s is null").drop("_s").join(known.where(~many).drop("copies"), _TEXT)
     return met.where("_s is not null").select(*_TEXT, *[c for c in stats.columns if c not in _TEXT], "_s.*").unionByName(rest)
 
 
-def kind_of() -> Column:
-    """What a document is by its statistics; null for prose, even if it is unusual.
-
-    Shares of the document itself say so, however many others are like it. Only where few function words
-    are all that speaks against a text do the ranks and scores of its language decide.
-    """
-    c = F.col
-    outlier = (c("score") >= OUTLIER) | (c("peak") >= PEAK)
-    table = (c("field_share") >= MOSTLY) & (c("field_lines") >= MOSTLY) & (c("n_words") > 0)
-    listed = (c("item_share") >= MOSTLY) & (c("item_lines") >= MOSTLY)
-    noise = (
-        (c("n_words") == 0)
-        | (c("alpha_ratio") < 0.35)
-        | (c("odd_ratio") >= 0.02)
-        | (c("long_share") >= 0.3)
-        | (c("run_share") >= 0.3)
-        | ((c("repeat_ratio") >= 0.9) & (c("n_words") >= 20))
-        | ((c("common_share") < 0.15) & (c("p_common") < 0.2) & outlier & ~(table | listed) & (c("language") != "zh"))
-        | ((c("common_share") < 0.05) & (c("p_common") < 0.2) & outlier & ~(table | listed))
-    )
-    unreadable = (c("n_words") == 0) | (c("odd_ratio") >= 0.02) | ((c("alpha_ratio") < 0.35) & ~table) | ((c("long_share") >= 0.3) & ~table)
-    return F.when(unreadable, "junk").when(table, "table").when(listed, "list").when(noise, "junk")
-
-
 def graded(documents: DataFrame) -> DataFrame:
     """Each document with its statistics, outlier scores and kind ('list', 'table', 'junk'; null for prose).
 
-    Texts are ranked within their language, each once, and are outliers when their mean surprise, or that of
-    their three furthest statistics, passes a threshold. The kind follows from a document's own statistics; of
-    texts with few function words and no other fault only outliers are 'junk'. Equal texts of a language
-    get equal kinds. Null and empty texts are 'junk'. An empty table gives no rows.
+    Texts are ranked within their language, each once. A text is an outlier of a kind when the tails of that kind's statistics,
+    combined, are about as improbable as texts of that kind are rare in its language: its score reaches a part of
+    -ln(share), which holds alike for rare and for frequent kinds. Nothing but ranks is looked at: texts that are
+    no further out than most of their language are prose, so a language with no more than one distinct text has no outlier but an
+    empty one. Equal texts of a language get equal kinds. Null texts and texts without a word have nothing to rank
+    and are 'junk'. An empty table gives no rows.
     """
-    return with_scores(measured(documents)).withColumn("kind", kind_of())
+    return with_scores(measured(documents))

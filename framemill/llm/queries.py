@@ -123,7 +123,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics and outlier scores of every document."""
-    return quality.graded(table(spark, d, "documents")).select("doc_id", "language", *quality.STATS, "score", "peak")
+    return quality.graded(table(spark, d, "documents")).select("doc_id", "language", *quality.STATS, "score", "peak", "table_score", "list_score", "junk_score")
 
 
 @R.query()

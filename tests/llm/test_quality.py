@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from framemill.llm import quality
+from framemill.llm import quality, textstats
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, row int, value double, kind string"
 
@@ -63,7 +66,7 @@ def test_a_third_of_all_rows_as_copies(spark, copied):
     assert len(got) == len(rows)
     assert {got[1000 + i] for i in range(60)} == {"list" if copied else "junk"}
     assert {got[i] for i in range(len(prose))} == {None}
-    assert (got[2000], got[2001]) == ("junk", "table")
+    assert got[2001] == "table"  # the one text of its language; the single repeated one is no outlier among so few texts
 
 
 def test_copies_are_ranked_once(spark):
@@ -80,13 +83,25 @@ def test_empty_table(spark):
     assert quality.graded(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def measure(*texts):
+    return {k: v.tolist() for k, v in textstats.measure(list(texts)).items()}
+
+
 def test_statistics():
-    m, words = quality.measure("The cat, the dog.\nA cat 12\n\n")
-    assert words == ["the", "cat", "the", "dog", "a", "cat", "12"]
-    assert (m["n_words"], m["n_lines"], m["n_chars"]) == (7, 2, 28)
-    assert m["common_share"] == pytest.approx(3 / 7) and m["distinct_share"] == pytest.approx(5 / 7)
-    assert m["line_end_ratio"] == 0.5 and m["digit_ratio"] == pytest.approx(2 / 28)
-    assert quality.measure("")[0]["n_words"] == 0
+    m = measure("The cat, the dog.\nA cat 12\n\n", "", "x", "l'arbre co-op 1.5", "日本 abc", "d " * 5000)
+    assert [m[k][0] for k in ("n_words", "n_lines", "n_chars")] == [7, 2, 28]
+    assert m["common_share"][0] == pytest.approx(3 / 7) and m["distinct_share"][0] == pytest.approx(5 / 7)
+    assert m["line_end_ratio"][0] == 0.5 and m["digit_ratio"][0] == pytest.approx(2 / 28)
+    assert all(v[1] == 0 for v in m.values())
+    assert m["n_words"][3:] == [3, 3, 5000] and m["run_share"][5] == 1 and m["distinct_share"][5] == 1 / 5000
+
+
+@given(st.lists(st.text(st.sampled_from("aé日1 .,-'\n|;#>\"!"), max_size=60), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_a_text_is_measured_alike_among_others(texts):
+    together = measure(*texts)
+    for i, t in enumerate(texts):
+        assert all(v[0] == pytest.approx(together[k][i]) for k, v in measure(t).items())
 
 
 def test_ranks_against_sorting(spark):
@@ -94,7 +109,7 @@ def test_ranks_against_sorting(spark):
     rows = [(i, " ".join(rng.choice(["the", "a", "cat", "dog", "12", "-"]) for _ in range(rng.randrange(1, 12))) + rng.choice([".", ""]), rng.choice(["en", "fr"]), "s", 1, 1.0, "x") for i in range(200)]
     stats = quality.measured(spark.createDataFrame(rows, SCHEMA))
     known = {r["row"]: r.asDict() for r in stats.collect()}
-    got = {(r["row"], r["stat"]): r["p"] for r in quality.tails(stats).collect()}
+    got = {(r["row"], r["stat"]): r["p"] for r in quality.tails(stats, quality.ranks(stats)).collect()}
     assert len(got) == len(known) * len(quality.TAILS)
     groups = {}
     for r in known.values():
@@ -106,3 +121,36 @@ def test_ranks_against_sorting(spark):
             high = sum(x[c] >= r[c] for x in mine) / len(mine)
             want = {"low": low, "high": high, "both": min(1.0, 2 * min(low, high))}[side]
             assert got[row, i] == pytest.approx(want)
+
+
+def corpus(lists=6, tables=6, prose=200):
+    texts = [PROSE.replace("robot", w) + f" It took {n} seconds, but nobody minded the wait." for w in ("arm", "cart", "drone", "van") for n in range(prose // 4)]
+    texts += [f"Shot list {n}\na red mug\nthe second arm\nopens the drawer\na coiled cable" for n in range(lists)]
+    texts += [f"clip;task;frames\nc1;wipes;{n}\nc2;opens;50\nc3;waits;60" for n in range(tables)]
+    return [(i, t, "en", "s", 1, 2.0, "clash") for i, t in enumerate(texts)]
+
+
+def test_the_ranks_decide(spark, monkeypatch):
+    """Without tails no text but an empty one has a kind; with them the outliers are about the texts that are no prose."""
+    rows = corpus() + [(999, "", "en", "s", 1, 2.0, "clash")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["kind"] for r in quality.graded(docs).collect()}
+    assert [got[i] for i in range(200, 212)] == ["list"] * 6 + ["table"] * 6 and got[999] == "junk"
+    assert sum(got[i] is not None for i in range(200)) <= 4
+    real = quality.tails
+    monkeypatch.setattr(quality, "tails", lambda stats, known: real(stats, known).withColumn("p", F.lit(1.0)))
+    flat = {r["doc_id"]: r["kind"] for r in quality.graded(docs).collect()}
+    assert {k: v for k, v in flat.items() if v} == {999: "junk"}
+
+
+@pytest.mark.parametrize("lists", [2, 100])
+def test_rare_and_frequent_kinds(spark, lists):
+    got = {r["doc_id"]: r["kind"] for r in quality.graded(spark.createDataFrame(corpus(lists, 0), SCHEMA)).collect()}
+    assert sum(got[i] == "list" for i in range(200, 200 + lists)) >= 0.95 * lists
+    assert sum(got[i] is not None for i in range(200)) <= 4
+
+
+def test_languages_with_like_codes_stay_apart(spark):
+    rows = [(i, f"ang bata ay naglalaro sa labas {i}", "fil", "s", 1, 1.0, "x") for i in range(30)] + [(100 + i, f"lapsi leikkii pihalla talossa {i}", "fi", "s", 1, 1.0, "x") for i in range(30)]
+    got = {r["doc_id"]: r["language"] for r in quality.measured(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == ("fil" if i < 100 else "fi") for i in got)
