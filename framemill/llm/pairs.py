@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,19 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framemill.functions.jsontext import INVISIBLE, is_blank, parse
-from framemill.operators.sampling import smallest
+from framemill.llm import language
+from framemill.llm.language import SAMPLE_PER_LANGUAGE, LanguageModel
+from framemill.llm.textstats import Words, _between, _mixed
 from framemill.session import spread, stored
 
-#: Labelled questions per language from which the language model is fitted (those with the least hash).
-SAMPLE_PER_LANGUAGE = 2000
-#: Most languages that are told apart.
-MAX_LANGUAGES = 200
-#: Orders of the character n-grams.
-ORDERS = (1, 2, 3)
 #: Share of occurrences of a word pair (or word) that must end a sentence for an unpunctuated end to pass.
 END_SHARE = 0.02
-#: Mean log-likelihood per n-gram by which another language must be better.
-MARGIN = 0.25
+#: Probability below which question and answer are not of one language, and the one that a text's likeliest language must have.
+SAME_LANGUAGE, CONFIDENT = 0.5, 0.6
 
 # Words that stand for no content, words that lead in a copy, and phrases with which a request is declined.
 NO_CONTENT = {"null", "none", "nil", "nan", "na", "undefined", "empty", "tbd"}
@@ -48,8 +43,8 @@ REFUSALS = [
     r"抱歉|对不起|我无法|我不能|无法完成这个请求",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
+_QUOTE = re.compile("[\"“„«「《]")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|《[^》]*》")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[.!?。！？…\n]+|[\"”“«»)\]]|[,;:，；：、(\-–—]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _TERMINAL = re.compile(r"[.!?。！？…][\"'”’»)\]}*_`]*$|[\"”»」』]$")
 _BULLET = re.compile(r"^\s*(?:[-*•+‣]|\d+[.)]|\([a-z0-9]\))\s+\S")
@@ -85,6 +80,8 @@ def read_answer(answer: str | None) -> tuple[str, list[str], bool]:
 def has_content(texts: list[str]) -> bool:
     """Whether any text says something: letters or digits that are no word for nothing."""
     for text in texts:
+        if len(text) > 32 and any(map(str.isalnum, text[:32])):
+            return True
         words = "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
         if words and words not in NO_CONTENT:
             return True
@@ -125,160 +122,147 @@ def is_copy(question: str, texts: list[str]) -> bool:
 
 def is_refusal(texts: list[str]) -> bool:
     """Whether a sentence of its own, outside quotation marks, declines."""
-    text = _QUOTED.sub(" ", folded(" ".join(texts)))
-    return any(_REFUSAL.search(s.strip()) for s in re.split(r"[.!?。！？\n]+", text))
-
-
-def grams(text: str) -> list[str]:
-    """Character n-grams of letters; anything else is one blank."""
-    text = " " + re.sub(r"[^\w]+|[\d_]+", " ", folded(text)).strip() + " "
-    return [text[i : i + n] for n in ORDERS for i in range(len(text) - n + 1)] if text.strip() else []
-
-
-class LanguageModel:
-    """Naive Bayes over character n-grams with additive smoothing, fitted on labelled texts."""
-
-    def __init__(self, labelled: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in labelled})
-        counts = {lang: Counter() for lang in self.languages}
-        for lang, text in labelled:
-            counts[lang].update(grams(text))
-        vocabulary = sorted({g for c in counts.values() for g in c})
-        table = np.array([[0.1] * len(self.languages)] + [[c[g] + 0.1 for c in counts.values()] for g in vocabulary]).reshape(len(vocabulary) + 1, len(self.languages))
-        totals = np.array([sum(c.values()) for c in counts.values()], dtype=float) + 0.1 * (len(vocabulary) + 1)
-        #: one row of log-likelihoods for each n-gram, the first for unseen ones
-        self.weights = np.log(table / totals).astype(np.float32)
-        self.row = {g: i for i, g in enumerate(vocabulary, 1)}
-
-    def posterior(self, text: str) -> np.ndarray | None:
-        """Mean log-likelihood per n-gram by language; None for a text without letters."""
-        get = self.row.get
-        rows = list(map(get, found := grams(text), repeat(0, len(found))))
-        if not rows or not self.languages:
-            return None
-        return self.weights[rows].mean(0, dtype=np.float64)
-
-
-def other_language(model: LanguageModel, question: str, texts: list[str]) -> bool:
-    """Whether the answer's posterior prefers a language that the question's does not."""
-    said = _QUOTED.sub(" ", " ".join(texts))
-    if len(re.findall(r"\w", said)) < 4:
-        return False
-    asked, got = model.posterior(_QUOTED.sub(" ", question) or question), model.posterior(said)
-    if asked is None or got is None:
-        return False
-    q, a = int(asked.argmax()), int(got.argmax())
-    return q != a and got[a] - got[q] > MARGIN and asked[q] - asked[a] > MARGIN / 2
+    text = _unquoted(folded(" ".join(texts)))
+    return _REFUSAL.search(text) is not None and any(_REFUSAL.search(s.strip()) for s in re.split(r"[.!?。！？\n]+", text))
 
 
-def ends(text: str) -> Iterator[tuple[str, str, bool]]:
-    """(word before, word, whether it ends a sentence) for every word; characters of scripts without spaces are words."""
-    last, pending = "", None
-    text = folded(text)
-    unspaced = _CJK.search(text) is not None
-    for token in _WORD.findall(text):
-        if token[0].isalnum():
-            for word in token if unspaced and _CJK.search(token) else (token,):
-                if pending is not None:
-                    yield (*pending, False)
-                pending, last = (last, word), word
-        elif token[0] in ".!?。！？…\n\"”":
-            if pending is not None:
-                yield (*pending, True)
-            pending, last = None, ("" if token[0] not in "\"”" else last)
-        else:
-            last = token[0] if token[0] in ",;:，；：、" else last
-    if pending is not None:
-        yield (*pending, None)
+def foreign(model: LanguageModel, questions: list[str], answers: list[str]) -> np.ndarray:
+    """Whether each answer is in another language than its question, by their posteriors.
 
+    The probability that a letter of the answer and one of the question are of one language is below SAME_LANGUAGE, and the answer's
+    likeliest language is neither that of the question nor none. Quoted words count for neither text, unless all is quoted.
+    """
+    asked = model.posteriors([_unquoted(q) or q for q in questions])
+    got = model.posteriors([_unquoted(t) for t in answers])
+    if not model.languages or not len(questions):
+        return np.zeros(len(questions), bool)
+    told = (asked[:, :-1].max(1) >= CONFIDENT) & (got[:, :-1].max(1) >= CONFIDENT)
+    return told & ((asked * got).sum(1) < SAME_LANGUAGE) & (asked.argmax(1) != got.argmax(1))
 
-def fit_languages(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit the language model on at most ``per_language`` labelled questions of each language.
 
-    The sample (those with the least hash of the id) is the only thing that comes to the driver.
-    """
-    lang = F.lower(F.trim(F.split(F.col("prompt_lang"), "[-_]")[0]))
-    labelled = pairs.where("extra_prompt is not null").select(lang.alias("lang"), "pair_id", "extra_prompt").where("lang <> ''")
-    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    few = smallest(labelled.where(F.col("lang").isin(names)), ["lang"], F.struct(F.xxhash64("pair_id"), "pair_id"), per_language)
-    sample = sorted((r["lang"], r["pair_id"] is None, r["pair_id"] or 0, r["extra_prompt"]) for r in few.collect())
-    return LanguageModel([(lang, text) for lang, _, _, text in sample])
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if _QUOTE.search(text) else text
 
 
-def sentence_ends(pairs: DataFrame) -> DataFrame:
-    """(before, word, n, n_end): how often each word pair of all questions and answers occurs, and ends a sentence.
+class Ends:
+    """Words of some texts, each with the word or sign before it and whether it ends a sentence.
 
-    Only ends that punctuation, a line break or the end of a whole JSON text confirms count; the
-    bare end of a text, which may be broken off, counts as neither.
+    ``pair`` and ``word`` are 64-bit keys. ``end`` is 1 where punctuation, a quotation mark or a line break follows, -1 for the last word of a text
+    that ends without one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n: Counter = Counter()
-            n_end: Counter = Counter()
-            for question, answer in zip(pdf["extra_prompt"], pdf["prompt"]):
-                kind, texts, whole = read_answer(answer)
-                for text, closed in [(question or "", False)] + [(t, kind == "json" and whole) for t in texts]:
-                    for before, word, end in ends(text):
-                        if end is None:
-                            if not closed:
-                                continue
-                            end = True
-                        n[before, word] += 1
-                        n_end[before, word] += end
-            keys = list(n)
-            yield pd.DataFrame({"before": [k[0] for k in keys], "word": [k[1] for k in keys], "n": [n[k] for k in keys], "n_end": [n_end[k] for k in keys]})
-
-    counted = spread(pairs.select("extra_prompt", "prompt")).mapInPandas(run, "before string, word string, n bigint, n_end bigint")
-    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-
-
-def _look(model_in: LanguageModel):
-    """mapInPandas function: what one pair shows by itself, and the last words of an unpunctuated answer."""
+    def __init__(self, texts: list[str]):
+        w = Words([t if t.isascii() else unicodedata.normalize("NFKC", t) for t in texts])
+        n = len(w.hash)
+        self.texts, self.doc = w, w.doc
+        last = np.ones(n, bool)
+        last[:-1] = w.doc[1:] != w.doc[:-1]
+        stop = np.where(last, (w.begin + w.length)[w.doc], np.append(w.start[1:], 0))
+        begin = w.start + w.size
+        closed = _between(np.isin(w.points, _STOPS), begin, stop) > 0
+        paused = _between(np.isin(w.points, _PAUSES), begin, stop) > 0
+        quoted = _between(np.isin(w.points, _QUOTES), begin, stop) > 0
+        self.end = np.where(closed | quoted, 1, np.where(last, -1, 0)).astype(np.int8)
+        before = np.zeros(n, np.uint64)
+        before[1:] = np.where(closed[:-1], 0, np.where(paused[:-1], 1, w.hash[:-1]))
+        if n:
+            before[np.append([True], last[:-1])] = 0
+        self.word = w.hash.view(np.int64)
+        self.pair = _mixed(w.hash * np.uint64(5) + before).view(np.int64)
+        self.last = np.flatnonzero(last)
+
+
+_STOPS = np.array([ord(c) for c in ".!?。！？…\n"], np.uint32)
+_PAUSES = np.array([ord(c) for c in ",;:，；：、"], np.uint32)
+_QUOTES = np.array([ord(c) for c in "\"”"], np.uint32)
+
+LOOKED = "pair_id bigint, defect string, pair bigint, word bigint, n bigint, n_end bigint"
+
+
+def _look(shared):
+    """mapInPandas function, one pass over questions and answers.
+
+    Rows with a pair_id or without counts tell what a pair shows by itself, or the keys of the last words of an unpunctuated answer;
+    rows with counts how often a word occurs, and ends a sentence, in this batch. Only ends that punctuation, a line break or the
+    end of a whole JSON text confirm count; the bare end of a text, which may be broken off, counts as neither.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, question, answer in zip(pdf["pair_id"].tolist(), pdf["extra_prompt"], pdf["prompt"]):
-                question = question or ""
-                kind, texts, whole = read_answer(answer)
-                defect = before = word = None
-                if not has_content(texts):
-                    defect = "empty"
-                elif kind == "json" and not whole:
-                    defect = "truncated"
-                elif is_refusal(texts):
-                    defect = "refusal"
-                elif is_copy(question, texts):
-                    defect = "copied"
-                elif other_language(model_in, question, texts):
-                    defect = "language"
-                elif kind == "text":
-                    before, word = _open_end(texts[0])
-                rows.append((pid, defect, before, word))
-            yield pd.DataFrame(rows, columns=["pair_id", "defect", "before", "word"]).astype({"pair_id": "Int64"})
+        model: LanguageModel = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                pdf = whole.iloc[lo : lo + 2000]
+                questions = [q or "" for q in pdf["extra_prompt"]]
+                answers = [read_answer(a) for a in pdf["prompt"]]
+                joined = [" ".join(texts) for _, texts, _ in answers]
+                texts = questions + [t for _, parts, _ in answers for t in parts]
+                sure = np.array([False] * len(questions) + [kind == "json" and ok for kind, parts, ok in answers for _ in parts], bool)
+                ends = Ends(texts)
+                yield _counted(ends, sure)
+                copy, other = copies(questions, joined), foreign(model, questions, joined)
+                first = np.cumsum([len(questions)] + [len(parts) for _, parts, _ in answers])
+                closing = dict(zip(ends.doc[ends.last].tolist(), ends.last.tolist()))
+                found = []
+                for i, (kind, parts, ok) in enumerate(answers):
+                    defect = pair = word = None
+                    if not has_content(parts):
+                        defect = "empty"
+                    elif kind == "json" and not ok:
+                        defect = "truncated"
+                    elif is_refusal(parts):
+                        defect = "refusal"
+                    elif copy[i] and is_copy(questions[i], parts):
+                        defect = "copied"
+                    elif other[i]:
+                        defect = "language"
+                    elif kind == "text":
+                        state = open_end(parts[0])
+                        at = closing.get(int(first[i]))
+                        if state == "sign":
+                            defect = "truncated"
+                        elif state == "word" and at is not None and ends.end[at] < 0:
+                            pair, word = ends.pair[at], ends.word[at]
+                    found.append((defect, pair, word))
+                keys = {c: pd.array([None if f[k] is None else int(f[k]) for f in found], "Int64") for k, c in ((1, "pair"), (2, "word"))}
+                none = pd.array([None] * len(found), "Int64")
+                out = pd.DataFrame({"pair_id": pdf["pair_id"].astype("Int64").array, "defect": [f[0] for f in found], **keys, "n": none, "n_end": none})
+                yield out[out["defect"].notna() | out["word"].notna()]
 
     return run
 
 
-def _open_end(text: str) -> tuple[str | None, str | None]:
-    """The last two words of a text that ends without punctuation; (None, None) for a closed one.
+def _counted(ends: Ends, sure: np.ndarray) -> pd.DataFrame:
+    """How often each word pair of a batch occurs and ends a sentence."""
+    end = np.where((ends.end < 0) & sure[ends.doc], 1, ends.end)
+    use = end >= 0
+    keys, at, inverse = np.unique(ends.pair[use], return_index=True, return_inverse=True)
+    frame = pd.DataFrame({"pair": keys, "word": ends.word[use][at], "n": np.bincount(inverse, minlength=len(keys)), "n_end": np.bincount(inverse, weights=end[use], minlength=len(keys)).astype(np.int64)})
+    return frame.assign(pair_id=pd.array([pd.NA] * len(keys), "Int64"), defect=None)[["pair_id", "defect", "pair", "word", "n", "n_end"]]
+
+
+def copies(questions: list[str], answers: list[str]) -> np.ndarray:
+    """Which answers may hold hardly a word that their question lacks: what ``is_copy`` has to look at."""
+    n = len(questions)
+    words = Words([t if t.isascii() else unicodedata.normalize("NFKC", t) for t in questions + answers])
+    keys = (words.doc % n if n else words.doc).astype(np.uint64) << np.uint64(40) | words.hash >> np.uint64(24)
+    of_answer = words.doc >= n
+    asked, said = np.unique(keys[~of_answer]), np.unique(keys[of_answer])
+    fresh = said[~np.isin(said, asked, assume_unique=True)] >> np.uint64(40)
+    return np.bincount(fresh.astype(np.int64), minlength=n) <= 2 + len(LEAD_IN)
+
+
+def open_end(text: str) -> str | None:
+    """'sign' for a text that ends in a comma or another sign that opens something, 'word' for one that ends without punctuation.
 
-    A text that ends in a comma or another sign that opens something has an empty last word. The
-    last line of several list items needs no full stop.
+    None for a closed text. The last line of several list items needs no full stop.
     """
-    text = text.rstrip(INVISIBLE + " \t\r\n　 ")
-    if not text or _TERMINAL.search(text):
-        return None, None
+    text = text.rstrip(INVISIBLE + " \t\r\n\u3000\xa0")
+    if not text or _TERMINAL.search(text, max(0, len(text) - 64)):
+        return None
     lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) > 1 and _BULLET.match(lines[-1]) and _BULLET.match(lines[-2]):
-        return None, None
-    if text[-1] in ",;:，；：、-–—(&":
-        return "", ""
-    last = None
-    for before, word, end in ends(text):
-        last = (before, word, end)
-    return (last[0], last[1]) if last and last[2] is None else (None, None)
+        return None
+    return "sign" if text[-1] in ",;:，；：、-–—(&" else "word"
 
 
 def defects(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -287,18 +271,20 @@ def defects(pairs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     The answer may be text or JSON (its keys are no content); quoted words count neither for the
     language nor as a refusal. A null or blank answer is empty; a null question can neither be
     copied nor have a language. The language is that of the question's text, compared by the
-    posteriors of a character n-gram model. An answer without a final sign is truncated when its
+    posteriors of a naive Bayes model over character n-grams. An answer without a final sign is truncated when its
     last words hardly ever end a sentence anywhere in the corpus: the share of confirmed ends of the
     last word pair, or of the last word where the pair is rare. Texts are read whole. A pair has
     one defect at most, the first of: empty, broken JSON, refusal, copied, language, truncated.
     Repeated pair ids give a row for each defect found. An empty table gives no rows.
     """
-    model = fit_languages(pairs, per_language)
-    looked = stored(spread(pairs.select("pair_id", "extra_prompt", "prompt")).mapInPandas(_look(model), "pair_id bigint, defect string, before string, word string"), "looked")
-    counts = stored(sentence_ends(pairs), "ends")
-    open_ends = looked.where("defect is null and word is not null").select("pair_id", "before", "word")
+    read = pairs.select("pair_id", "extra_prompt", "prompt")
+    model = language.fit(pairs, "prompt_lang", "extra_prompt", "pair_id", per_language)
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+    looked = stored(spread(read).mapInPandas(_look(shared), LOOKED), "looked")
+    counts = stored(looked.where("n is not null").groupBy("pair", "word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "ends")
+    open_ends = looked.where("defect is null and n is null").select("pair_id", "pair", "word")
     lone = counts.groupBy("word").agg(F.sum("n").alias("wn"), F.sum("n_end").alias("wn_end"))
-    judged = open_ends.join(counts, ["before", "word"], "left").join(lone, "word", "left")
+    judged = open_ends.join(counts.drop("word"), "pair", "left").join(lone, "word", "left")
     share = F.when(F.coalesce("n", F.lit(0)) >= 5, F.col("n_end") / F.col("n")).otherwise(F.coalesce(F.col("wn_end") / F.col("wn"), F.lit(0.0)))
     cut_off = judged.where(share < END_SHARE).select("pair_id", F.lit("truncated").alias("defect"))
     return looked.where("defect is not null").select("pair_id", "defect").union(cut_off).distinct()

@@ -1,11 +1,13 @@
 """Defects of pairs, the language model on held-out questions, and truncation."""
 
 import os
-from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from framemill.llm import pairs
+from framemill.llm import language, pairs
 
 QUESTIONS = {
     "en": ["The robot opens the top drawer in a bright workshop.", "A child with a red scarf waits near the crossing while the light turns green.", "Describe the arm that lifts the mug and places it on the bench."],
@@ -52,27 +54,60 @@ def test_language_model_on_held_out_questions(spark, data_dir):
     if not os.path.isdir(larger):
         pytest.skip("the larger test tables are not here")
     df = spark.read.parquet(f"{larger}/t2i_pairs.parquet").where("prompt_lang is not null")
-    model = pairs.fit_languages(df.where("pair_id % 2 = 0"))
+    model = language.fit(df.where("pair_id % 2 = 0"), "prompt_lang", "extra_prompt", "pair_id")
     rows = df.where("pair_id % 2 = 1").collect()
-    right = Counter()
-    for r in rows:
-        got = model.posterior(r["extra_prompt"])
-        right[got is not None and model.languages[int(got.argmax())] == r["prompt_lang"]] += 1
-    assert right[True] >= 0.97 * len(rows)
+    got = model.posteriors([r["extra_prompt"] for r in rows])
+    assert np.allclose(got.sum(1)[got.any(1)], 1)
+    assert sum(model.names[p.argmax()] == r["prompt_lang"] for p, r in zip(got, rows) if p.any()) >= 0.97 * len(rows)
 
 
 def test_sample_is_bounded(spark):
-    df = spark.createDataFrame([(i, f"text number {i} the", None, "en", "m", "d", 1) for i in range(50)], SCHEMA)
-    calls = []
-    original = pairs.LanguageModel.__init__
+    rows = [(i, "the same text", "en", "en", "m", "d", 1) for i in range(50)] + [(100 + i, "le texte", "fr", "fr", "m", "d", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = language.counts(["the same text"])[1].sum()
+    seen = []
+    real = language.LanguageModel
     try:
-        pairs.LanguageModel.__init__ = lambda self, labelled: (calls.append(len(labelled)), original(self, labelled))[1]
-        pairs.fit_languages(df, 10)
+        language.LanguageModel = lambda labelled, prior: (seen.append((labelled, prior)), real(labelled, prior))[1]
+        language.fit(df, "prompt_lang", "extra_prompt", "pair_id", 10)
+        language.fit(df, "prompt_lang", "extra_prompt", "pair_id", 10, 10)
     finally:
-        pairs.LanguageModel.__init__ = original
-    assert calls == [10]
-
-
-@pytest.mark.parametrize("text,want", [("a b. c d", [("", "a", False), ("a", "b", True), ("", "c", False), ("c", "d", None)]), ("在家。走", [("", "在", False), ("在", "家", True), ("", "走", None)]), ("", []), ("x,", [("", "x", None)])])
-def test_ends(text, want):
-    assert list(pairs.ends(text)) == want
+        language.LanguageModel = real
+    assert set(seen[0][0]) == {"en", "fr"} and seen[0][0]["en"][1].sum() == 10 * one
+    assert seen[0][1] == {"en": 50.0, "fr": 20.0}  # priors count all labelled rows
+    assert set(seen[1][0]) == {"en"}
+
+
+def test_more_than_two_hundred_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + 3 * i) * 3} {chr(0x4E01 + 3 * i) * 4}", None, f"x{i:03d}", "m", "d", 1) for i in range(230)]
+    model = language.fit(spark.createDataFrame(rows, SCHEMA), "prompt_lang", "extra_prompt", "pair_id")
+    assert len(model.languages) == 230
+    got = model.posteriors([r[1] for r in rows])
+    assert [model.names[i] for i in got.argmax(1)] == [r[3] for r in rows]
+
+
+@given(st.lists(st.text(st.sampled_from("abé日ß 1.,\n'\u0301"), max_size=300), min_size=1, max_size=6))
+@settings(max_examples=50, deadline=None)
+def test_posteriors_of_a_text_do_not_depend_on_others(texts):
+    model = language.LanguageModel({"a": language.counts(["ab ab é", "a b"]), "b": language.counts(["日 日日 b"])})
+    together = model.posteriors(texts)
+    assert together.shape == (len(texts), 3)
+    for t, p in zip(texts, together):
+        assert np.allclose(model.posteriors([t])[0], p, atol=1e-4)
+        assert p.sum() == pytest.approx(1, abs=1e-5) or (p.sum() == 0 and not any(map(str.isalpha, t)))
+
+
+@pytest.mark.parametrize("text,words,end", [("a b. c d", "a b c d", [0, 1, 0, -1]), ("在家。走", "在 家 走", [0, 1, -1]), ("", "", []), ("x,", "x", [-1]), ('he said "stop" and', "he said stop and", [0, 1, 1, -1])])
+def test_ends(text, words, end):
+    got = pairs.Ends([text])
+    assert got.end.tolist() == end
+    assert got.word.tolist() == [int(pairs.Ends([w]).word[0]) for w in words.split()]
+
+
+def test_ends_of_one_text_do_not_depend_on_others():
+    texts = ["a b. c", "", "b", "x, y z\n", "日本。"]
+    together = pairs.Ends(texts)
+    for i, t in enumerate(texts):
+        alone = pairs.Ends([t])
+        mine = together.doc == i
+        assert together.pair[mine].tolist() == alone.pair.tolist() and together.end[mine].tolist() == alone.end.tolist()
