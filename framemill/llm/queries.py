@@ -79,14 +79,14 @@ def p3_split_shares(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("split", "n_records", (F.col("n_records") / F.col("total")).alias("share"))
 
 
-def _drawn(spark: SparkSession, d: str) -> DataFrame:
-    return reservoir.draw(table(spark, d, "frames"), table(spark, d, "episodes"), table(spark, d, "stats_metadata"))
+def _drawn(spark: SparkSession, d: str, records: bool = False) -> DataFrame:
+    return reservoir.draw(table(spark, d, "frames"), table(spark, d, "episodes"), table(spark, d, "stats_metadata"), records)
 
 
 @R.query()
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     """The frames drawn for each domain, with their records."""
-    return reservoir.with_records(_drawn(spark, d), table(spark, d, "frames"), table(spark, d, "episodes"))
+    return _drawn(spark, d, records=True)
 
 
 @R.query("""

@@ -1,54 +1,27 @@
-"""Fixed-size uniform samples of frames by block acceptance-rejection."""
+"""Fixed-size uniform samples of frames by block acceptance-rejection over Parquet row groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framemill.operators.frames import frame_rows
 from framemill.operators.ordering import running_sum
-from framemill.session import broadcast_if_small, fits_broadcast, stored
+from framemill.session import broadcast_if_small, stored
 
-#: A file with more frames of a domain than this counts as several blocks, so that no block is unbounded.
-BLOCK_ROWS = 512
-#: Estimated bytes of a domain's row in a hash relation; all tables of one row per domain are broadcast only if that many fit.
-_DOMAIN_BYTES = 256
+#: Proposals for each wanted frame in the first stage, and the least number there.
+PROPOSALS, LEAST_PROPOSALS = 4, 1000
 #: Proposals that one task makes.
-PROPOSALS = 100_000
-
+CHUNK = 100_000
+#: How many times the wanted frames of a domain the second stage keeps, and some more for chance.
+SPARE = 2.0
 
-def arrivals(frames: DataFrame, episodes: DataFrame, domains: DataFrame) -> DataFrame:
-    """Each distinct frame once, in the file it first arrived in: (domain, ep, fr, alone, chunk, file).
-
-    The first arrival is the earliest ingestion, then the lowest file. A frame without a number
-    can't be recognised in another copy, so each stored row of it is a frame of its own (``alone``
-    tells those apart). Frames of episodes that belong to no wanted domain are left out.
-    """
-    take = {"at": F.col("ingested_at"), "chunk": F.col("chunk_index"), "file": F.col("file_index"), "gi": F.col("global_index")}
-    rows = frame_rows(frames, episodes, take)
-    of = episodes.groupBy(F.col("episode_index").alias("ep")).agg(F.max("domain_name").alias("domain"))
-    of = of.join(broadcast_if_small(domains.select("domain"), _DOMAIN_BYTES), "domain")
-    rows = rows.withColumn("alone", F.when(F.col("fr").isNull(), F.xxhash64("at", "chunk", "file", "gi")))
-    first = rows.groupBy("ep", "fr", "alone").agg(F.min(F.struct("at", "chunk", "file")).alias("f"))
-    first = first.select("ep", "fr", "alone", F.col("f.chunk").alias("chunk"), F.col("f.file").alias("file"))
-    return first.join(broadcast_if_small(of, 80), "ep")
-
-
-def blocks(frames: DataFrame, small: bool = True) -> DataFrame:
-    """Blocks of arrived frames, numbered densely in each domain: (domain, block_no, chunk, file, members), stored.
-
-    A block is what one file brought of a domain; files with more than BLOCK_ROWS frames are cut
-    into slices by hash, so that members of one block always fit a row.
-    """
-    big = frames.groupBy("domain", "chunk", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
-    big = big.select(F.col("domain").alias("bd"), F.col("chunk").alias("bc"), F.col("file").alias("bf"), F.ceil(F.col("n") / (BLOCK_ROWS // 2)).alias("slices"))
-    big = broadcast_if_small(big, 64)
-    on = (F.col("domain") == F.col("bd")) & F.col("chunk").eqNullSafe(F.col("bc")) & F.col("file").eqNullSafe(F.col("bf"))
-    sliced = frames.join(big, on, "left").select(*frames.columns, F.coalesce(F.pmod(F.xxhash64("ep", "fr", "alone"), "slices"), F.lit(0)).alias("slice"))
-    members = sliced.groupBy("domain", "chunk", "file", "slice").agg(F.sort_array(F.collect_list(F.struct("ep", "fr", "alone"))).alias("members"))
-    numbered = running_sum(members.withColumn("one", F.lit(1)), "one", [F.col(c) for c in ("domain", "chunk", "file", "slice")], "g", "blocks")
-    first = numbered.groupBy("domain").agg(F.min("g").alias("g0"))
-    return stored(numbered.join(_hint(first, small), "domain").select("domain", (F.col("g") - F.col("g0")).alias("block_no"), "chunk", "file", "members"), "numbered")
+GROUPS = "path string, rg int, first bigint, n bigint"
+FETCHED = "gno bigint, path string, pos bigint, i bigint, ep bigint, fr bigint, ts double"
 
 
 def wanted(metadata: DataFrame) -> DataFrame:
@@ -62,73 +35,146 @@ def wanted(metadata: DataFrame) -> DataFrame:
     return metadata.where("domain_name is not null").groupBy(F.col("domain_name").alias("domain")).agg(F.max(k).alias("k"), F.min(F.coalesce("sampling_seed", F.lit(0))).alias("seed"))
 
 
-def draw(frames: DataFrame, episodes: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Drawn frames: (domain_name, draw_no, episode_index, frame_index, chunk_index, file_index, num_samples_stats).
+def _open(path: str):
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    system, inside = fs.FileSystem.from_uri(path)
+    return pq.ParquetFile(system.open_input_file(inside))
+
+
+def row_groups(frames: DataFrame) -> DataFrame:
+    """(path, rg, first, n) of the row groups of the files under ``frames``, read from their footers where the tasks run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                meta = _open(path).metadata
+                sizes = [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+                rows += [(path, k, first, n) for k, (first, n) in enumerate(zip(np.cumsum([0, *sizes]).tolist(), sizes)) if n]
+            yield pd.DataFrame(rows, columns=["path", "rg", "first", "n"])
+
+    spark = frames.sparkSession
+    files = [(p,) for p in sorted(frames.inputFiles())]
+    found = spark.createDataFrame(files, "path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+    return running_sum(found.mapInPandas(run, GROUPS).withColumn("one", F.lit(1)), "one", [F.col("path"), F.col("rg")], "gno", "groups").drop("one")
 
-    For each domain, blocks are chosen uniformly and an offset below the largest block's size; a
-    proposal whose offset does not exist in its block, or that came up before, is rejected, until k
-    frames are drawn. Every frame has the same chance whatever the size of its block and however
-    often it is stored, since only its first arrival counts. Where k is more than half of the
-    frames the rest is drawn and left out, and a domain with no more than k frames is taken whole.
-    Proposals are a pure function of seed, domain and number: the same data give the same sample.
-    ``num_samples_stats`` is the number drawn. Empty tables give no rows.
+
+def _fetched(groups: DataFrame, proposals: int, number: int, largest: int, seed: int) -> DataFrame:
+    """The rows that proposals meet, each with the first proposal of it: (gno, path, pos, i, ep, fr, ts).
+
+    A proposal is a row group, each as likely, and an offset below the largest group's size. One whose offset its group has not is
+    rejected, as is one that came up before. A task reads key columns of the groups that were proposed, nothing of others.
     """
-    want = wanted(metadata).where("k > 0")
-    small = fits_broadcast(want, _DOMAIN_BYTES)
-    made = blocks(arrivals(frames, episodes, want), small)
-    size = made.groupBy("domain").agg(F.count(F.lit(1)).alias("b"), F.max(F.size("members")).alias("m"), F.sum(F.size("members")).alias("n"))
-    plan = want.join(size, "domain").withColumn("take", F.least("k", "n"))
-    plan = plan.withColumn("invert", F.col("take") > F.col("n") / 2).withColumn("goal", F.when(F.col("invert"), F.col("n") - F.col("take")).otherwise(F.col("take")))
-    plan = stored(plan, "plan")
-    factor = 1.15
-    while True:
-        hits = stored(_accepted(made, plan, factor, small), "hits")
-        got = hits.groupBy("domain").agg(F.count(F.lit(1)).alias("got"))
-        short = plan.join(got, "domain", "left").where(F.coalesce("got", F.lit(0)) < F.col("goal"))
-        if short.isEmpty():
-            break
-        factor *= 2
-    cells = made.join(_hint(plan.select("domain", "invert", "take"), small), "domain")
-    cells = cells.select("domain", "block_no", "invert", "take", "chunk", "file", F.posexplode("members").alias("offset", "frame"))
-    marked = cells.join(hits, ["domain", "block_no", "offset"], "left")
-    chosen = marked.where(F.col("i").isNull() == F.col("invert"))
-    frame = [F.col("frame.ep").alias("episode_index"), F.col("frame.fr").alias("frame_index")]
-    return chosen.select(F.col("domain").alias("domain_name"), F.col("i").alias("draw_no"), *frame, F.col("chunk").alias("chunk_index"), F.col("file").alias("file_index"), F.col("take").alias("num_samples_stats"))
-
-
-def _hint(per_domain: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(per_domain) if small else per_domain
-
-
-def _accepted(made: DataFrame, plan: DataFrame, factor: float, small: bool) -> DataFrame:
-    """(domain, block_no, offset, i) of the first ``goal`` accepted proposals of each domain, ``i`` counting proposals."""
-    # proposals needed for `goal` different ones of n cells that exist among b * m
-    tries = F.col("n") * -F.log1p(-F.col("goal") / F.col("n")) * (F.col("b") * F.col("m") / F.col("n"))
-    upto = F.ceil(tries * factor + 10 * F.sqrt(tries) + 100).cast("bigint")
-    starts = plan.where("goal > 0").withColumn("upto", upto)
-    starts = starts.select("domain", "seed", "b", "m", "goal", "upto", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("upto") - 1, F.lit(PROPOSALS).cast("bigint"))).alias("start"))
-    starts = starts.repartition("domain", "start")
-    each = F.sequence("start", F.least(F.col("start") + PROPOSALS, "upto") - 1)
-    tried = starts.select("domain", "seed", "b", "m", F.explode(each).alias("i"))
-    roll = lambda what, below: F.pmod(F.xxhash64(F.lit(what), "seed", "domain", "i"), below)
-    tried = tried.select("domain", "i", roll("block", "b").alias("block_no"), roll("offset", F.col("m").cast("bigint")).cast("int").alias("offset"))
-    # the planner sees a few rows before the explode; it must not broadcast the proposals
-    tried = tried.groupBy("domain", "block_no", "offset").agg(F.min("i").alias("i")).hint("merge")
-    real = tried.join(made.select("domain", "block_no", F.size("members").alias("size")), ["domain", "block_no"]).where("offset < size").drop("size")
-    # the accepted in order of their proposals: an exact cut by the running count of each domain
-    ranked = running_sum(real.withColumn("one", F.lit(1)), "one", [F.col("domain"), F.col("i")], "g", "accepted")
-    first = ranked.groupBy("domain").agg(F.min("g").alias("g0"))
-    ranked = ranked.join(_hint(first, small), "domain").join(_hint(plan.select("domain", "goal"), small), "domain")
-    return ranked.where("g - g0 < goal").select("domain", "block_no", "offset", "i")
-
-
-def with_records(drawn: DataFrame, frames: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The drawn frames with a stored record of each: the copy in the file it first arrived in, the earliest one there."""
+    spark = groups.sparkSession
+    starts = spark.range(0, proposals, CHUNK).repartition(max(1, math.ceil(proposals / CHUNK))).select(F.explode(F.sequence(F.col("id"), F.least(F.col("id") + CHUNK, F.lit(proposals)) - 1)).alias("i"))
+    roll = lambda what, below: F.pmod(F.xxhash64(F.lit(what), F.lit(seed), "i"), F.lit(below))
+    tried = starts.select("i", roll("group", number).alias("gno"), roll("offset", largest).alias("offset"))
+    first = tried.groupBy("gno", "offset").agg(F.min("i").alias("i"))
+    real = first.join(broadcast_if_small(groups, 256), "gno").where("offset < n")
+    some = real.groupBy("gno", "path", "rg", "first").agg(F.collect_list(F.struct("offset", "i")).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            last, file = None, None
+            for gno, path, rg, begin, cells in sorted(zip(pdf["gno"], pdf["path"], pdf["rg"], pdf["first"], pdf["cells"]), key=lambda r: (r[1], r[2])):
+                if path != last:
+                    last, file = path, _open(path)
+                at = np.array([c["offset"] for c in cells], np.int64)
+                t = file.read_row_group(int(rg), columns=["episode_index", "frame_index", "timestamp_s"]).take(at)
+                ep, fr, ts = (t.column(c).to_pandas(integer_object_nulls=True) for c in ("episode_index", "frame_index", "timestamp_s"))
+                yield pd.DataFrame({"gno": gno, "path": path, "pos": begin + at, "i": [c["i"] for c in cells], "ep": ep.astype("Int64"), "fr": fr.astype("Int64"), "ts": ts.astype("float64")})
+
+    # at most as many cells of a group as proposals of it, and no more than it has rows
+    return some.mapInPandas(run, FETCHED)
+
+
+def _numbered(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Frame numbers and domains: ``fr`` is the stored number or the time by the episode's fps; ``alone`` marks rows without one.
+
+    Such a row can't be recognised in another copy, so each is a frame of its own.
+    """
+    by_time = F.when(~F.isnan("ts"), F.round(F.col("ts") * F.col("fps"))).cast("bigint")
+    met = rows.join(of, "ep").withColumn("fr", F.coalesce("fr", by_time)).drop("ts", "fps")
+    return met.withColumn("alone", F.when(F.col("fr").isNull(), F.xxhash64("path", "pos"))).withColumn("key", F.xxhash64("ep", "fr", "alone"))
+
+
+def _stored_rows(frames: DataFrame, records: bool) -> DataFrame:
     named = [c for c in frames.columns if c not in ("episode_index", "frame_index", "chunk_index", "file_index")]
-    take = {"at": F.col("ingested_at"), "chunk": F.col("chunk_index"), "file": F.col("file_index"), "gi": F.col("global_index"), "rec": F.struct(*[F.col(f"`{c}`") for c in named])}
-    rows = frame_rows(frames, episodes, take)
-    d = drawn.select("domain_name", "draw_no", "num_samples_stats", F.col("episode_index").alias("e"), F.col("frame_index").alias("f"), F.col("chunk_index").alias("c"), F.col("file_index").alias("l"))
-    on = (rows["ep"] == d["e"]) & rows["fr"].eqNullSafe(d["f"]) & rows["chunk"].eqNullSafe(d["c"]) & rows["file"].eqNullSafe(d["l"])
-    both = rows.join(broadcast_if_small(d, 320), on)
-    best = F.min_by("rec", F.struct("at", "gi")).alias("record")
-    return both.groupBy("domain_name", "draw_no", "num_samples_stats", F.col("e").alias("episode_index"), F.col("f").alias("frame_index"), F.col("c").alias("chunk_index"), F.col("l").alias("file_index")).agg(best)
+    record = [F.struct(*[F.col(f"`{c}`") for c in named]).alias("record")] if records else []
+    take = {"ep": "episode_index", "fr": "frame_index", "ts": "timestamp_s", "at": "ingested_at", "chunk": "chunk_index", "file": "file_index"}
+    return frames.select(*[F.col(c).alias(n) for n, c in take.items()], F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos"), *record)
+
+
+def _first(rows: DataFrame, records: bool) -> DataFrame:
+    """The first arrival of each frame: earliest ingestion, then the lowest file, then the place in it."""
+    kept = ["at", "chunk", "file", "path", "pos", *(["record"] if records else [])]
+    out = rows.groupBy("domain", "ep", "fr", "alone", "key").agg(F.min_by(F.struct(*kept), F.struct("at", "chunk", "file", "path", "pos")).alias("f"))
+    return out.select("domain", "ep", "fr", "alone", "key", *[f"f.{c}" for c in kept])
+
+
+def _unit(key: Column, seed: Column) -> Column:
+    """A number below 1 from a frame's key."""
+    return F.pmod(F.xxhash64(F.lit("frame"), seed, key), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def draw(frames: DataFrame, episodes: DataFrame, metadata: DataFrame, records: bool = False) -> DataFrame:
+    """Drawn frames: (domain_name, draw_no, episode_index, frame_index, chunk_index, file_index, num_samples_stats[, record]).
+
+    Row groups are chosen uniformly, and an offset up to the largest group's size; a proposal whose offset
+    does not exist, that came up before, or whose row is not the first arrival of its frame is rejected, and the first k accepted ones
+    of each domain are its sample. So every frame has the same chance, whatever the size of its group and however often
+    it is stored. No frames are counted beforehand and none but candidates' copies are shuffled: proposed
+    groups are read for their keys, and one scan looks for earlier copies of the candidates.
+    Where the proposals leave a domain short, it is drawn anew from all its rows, proposed in the hash order of their frames:
+    those below a bound that leaves about SPARE times the sample, or all, so that a domain with no more than k frames comes out
+    whole. ``draw_no`` numbers the proposals. Everything follows from seeds and data: the same files give the same sample.
+    ``num_samples_stats`` is the number drawn. Frames of no wanted domain are left out; empty tables give no rows. Frames
+    that are no Parquet files are written to some first.
+    """
+    if not frames.inputFiles():
+        frames = stored(frames, "frames")
+    want = stored(wanted(metadata).where("k > 0"), "wanted")
+    goal = want.agg(F.sum("k").alias("k"), F.min("seed").alias("seed")).first()
+    of = episodes.where("episode_index is not null").groupBy(F.col("episode_index").alias("ep")).agg(F.max("domain_name").alias("domain"), F.max("fps").alias("fps"))
+    of = stored(of.join(broadcast_if_small(want, 96), "domain"), "domains")
+    of = broadcast_if_small(of, 128)
+    groups = row_groups(frames)
+    size = groups.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("m")).first()
+    proposals = max(LEAST_PROPOSALS, PROPOSALS * (goal["k"] or 0)) if goal["k"] and size["g"] else 0
+    met = _fetched(groups, proposals, max(1, size["g"]), max(1, size["m"] or 1), goal["seed"] or 0)
+    candidates = stored(_numbered(met, of).select("domain", "k", "key", "path", "pos", "i"), "candidates")
+    keys = candidates.select("key").distinct()
+    rows = _numbered(_stored_rows(frames, records), of)
+    earliest = _first(rows.join(broadcast_if_small(keys, 32), "key", "left_semi"), records)
+    real = candidates.join(earliest.drop("domain", "key"), ["path", "pos"])
+    # a domain has at most as many candidates as there were proposals
+    accepted = stored(real.withColumn("nth", F.row_number().over(Window.partitionBy("domain").orderBy("i"))).withColumnRenamed("i", "draw_no"), "accepted")
+    got = stored(want.join(accepted.groupBy("domain").agg(F.count(F.lit(1)).alias("got")), "domain", "left").na.fill(0, ["got"]), "got")
+    short = got.where("got < k")
+    drawn = accepted.join(broadcast_if_small(short.select("domain"), 64), "domain", "left_anti").where("nth <= k")
+    if not short.isEmpty():
+        # the first stage came upon this part of all rows
+        part = -math.expm1(-proposals / max(1.0, float(size["g"] or 1) * float(size["m"] or 1)))
+        expected = F.greatest(F.col("got"), F.lit(1)) / F.lit(part)
+        bound = F.when(F.col("got") >= 100, (F.col("k") * SPARE + 10 * F.sqrt("k")) / expected).otherwise(1.0)
+        limits = short.select("domain", "k", "seed", F.least(F.lit(1.0), bound).alias("bound"))
+        rest = _rest(rows, limits, records)
+        if not rest.groupBy("domain", "k", "bound").agg(F.max("nth").alias("n")).where("n < k and bound < 1").isEmpty():
+            rest = _rest(rows, limits.withColumn("bound", F.lit(1.0)), records)
+        drawn = drawn.unionByName(rest.where("nth <= k").withColumn("draw_no", F.lit(proposals) + F.col("nth") - 1).drop("bound"))
+    total = F.count(F.lit(1)).over(Window.partitionBy("domain"))
+    named = {"domain": "domain_name", "draw_no": "draw_no", "ep": "episode_index", "fr": "frame_index", "chunk": "chunk_index", "file": "file_index"}
+    return drawn.select(*[F.col(c).alias(n) for c, n in named.items()], total.alias("num_samples_stats"), *(["record"] if records else []))
+
+
+def _rest(rows: DataFrame, limits: DataFrame, records: bool) -> DataFrame:
+    """The frames of domains that came out short, below their bound, in the order of their hash, stored."""
+    mine = rows.drop("k", "seed").join(broadcast_if_small(limits, 96), "domain")
+    mine = mine.where(_unit(F.col("key"), F.col("seed")) < F.col("bound"))
+    first = _first(mine, records).join(broadcast_if_small(limits, 96), "domain")
+    # as many rows of a domain as the bound leaves: about SPARE times its sample
+    order = Window.partitionBy("domain").orderBy(_unit(F.col("key"), F.col("seed")), "key")
+    kept = ["domain", "k", "bound", "path", "pos", "ep", "fr", "alone", "key", "at", "chunk", "file", "nth", *(["record"] if records else [])]
+    return stored(first.withColumn("nth", F.row_number().over(order)).select(*kept), "rest")

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from framemill.llm import reservoir
 
@@ -64,18 +65,33 @@ def test_equal_chances(spark, k):
     assert sum(n.values()) == 300 * k and chi < 75  # 39 degrees of freedom, p about 0.0005
 
 
-def test_blocks_are_bounded(spark, tables, monkeypatch):
-    monkeypatch.setattr(reservoir, "BLOCK_ROWS", 8)
-    frames, eps = tables
-    want = reservoir.wanted(spark.createDataFrame([("a", 20, None, None, 0)], META))
-    made = reservoir.blocks(reservoir.arrivals(frames, eps, want)).collect()
-    assert sum(len(b["members"]) for b in made) == 40 and max(len(b["members"]) for b in made) < 25
-    assert sorted(b["block_no"] for b in made) == list(range(len(made)))
-    assert len(drawn(spark, tables, [("a", 20, None, None, 0)])) == 20
+@pytest.mark.parametrize("proposals,k", [(1, 12), (200, 12), (4, 12)])
+def test_both_stages_draw_alike(spark, monkeypatch, proposals, k):
+    """Row groups of very different sizes; few proposals leave the domains to the second stage, many do not."""
+    monkeypatch.setattr(reservoir, "PROPOSALS", proposals)
+    monkeypatch.setattr(reservoir, "LEAST_PROPOSALS", 10)
+    seeds = range(250)
+    rows = [frame(e, i, 0) for e in seeds for i in range(30)] + [frame(e, 7, 5, at=9) for e in seeds for _ in range(4)]
+    parts = spark.createDataFrame(rows, FRAMES).repartitionByRange(6, F.when(F.col("frame_index") < 20, 0).otherwise(F.col("frame_index")))
+    eps = spark.createDataFrame([(e, f"d{e}", 10.0) for e in seeds], "episode_index bigint, domain_name string, fps double")
+    meta = spark.createDataFrame([(f"d{e}", k, None, None, e) for e in seeds], META)
+    got = reservoir.draw(parts, eps, meta).collect()
+    n = Counter(r["frame_index"] for r in got)
+    mean = 250 * k / 30
+    chi = sum((n[i] - mean) ** 2 / (mean * (1 - k / 30)) for i in range(30))
+    assert len(got) == 250 * k == len({(r["episode_index"], r["frame_index"]) for r in got}) and chi < 62  # 29 degrees of freedom, p about 0.0004
+    assert all(r["draw_no"] is not None and r["num_samples_stats"] == k for r in got)
+
+
+def test_row_groups_are_those_of_the_files(spark, tmp_path):
+    spark.createDataFrame([frame(1, i, 0) for i in range(1000)], FRAMES).repartition(3).write.parquet(f"{tmp_path}/a b%c.parquet")
+    frames = spark.read.parquet(f"{tmp_path}/a b%c.parquet")
+    got = reservoir.row_groups(frames).collect()
+    assert sum(r["n"] for r in got) == 1000 and sorted(r["gno"] for r in got) == list(range(len(got)))
+    eps = spark.createDataFrame([(1, "a", 10.0)], "episode_index bigint, domain_name string, fps double")
+    assert len(reservoir.draw(frames, eps, spark.createDataFrame([("a", 50, None, None, 0)], META)).collect()) == 50
 
 
 def test_records(spark, tables):
-    frames, eps = tables
-    d = reservoir.draw(frames, eps, spark.createDataFrame([("a", 20, None, None, 3)], META))
-    full = reservoir.with_records(d, frames, eps).collect()
+    full = reservoir.draw(*tables, spark.createDataFrame([("a", 20, None, None, 3)], META), records=True).collect()
     assert len(full) == 20 and all(r["record"]["rec"] == "r" for r in full)
