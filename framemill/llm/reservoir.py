@@ -35,6 +35,11 @@ def wanted(metadata: DataFrame) -> DataFrame:
     return metadata.where("domain_name is not null").groupBy(F.col("domain_name").alias("domain")).agg(F.max(k).alias("k"), F.min(F.coalesce("sampling_seed", F.lit(0))).alias("seed"))
 
 
+def _plain(path: Column) -> Column:
+    """A file's name as both the list of files and the scan give it, which write local ones with one or three slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def _open(path: str):
     from pyarrow import fs
     from pyarrow import parquet as pq
@@ -57,7 +62,7 @@ def row_groups(frames: DataFrame) -> DataFrame:
 
     spark = frames.sparkSession
     files = [(p,) for p in sorted(frames.inputFiles())]
-    found = spark.createDataFrame(files, "path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+    found = spark.createDataFrame(files, "path string").select(_plain(F.col("path")).alias("path")).repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
     return running_sum(found.mapInPandas(run, GROUPS).withColumn("one", F.lit(1)), "one", [F.col("path"), F.col("rg")], "gno", "groups").drop("one")
 
 
@@ -104,7 +109,7 @@ def _stored_rows(frames: DataFrame, records: bool) -> DataFrame:
     named = [c for c in frames.columns if c not in ("episode_index", "frame_index", "chunk_index", "file_index")]
     record = [F.struct(*[F.col(f"`{c}`") for c in named]).alias("record")] if records else []
     take = {"ep": "episode_index", "fr": "frame_index", "ts": "timestamp_s", "at": "ingested_at", "chunk": "chunk_index", "file": "file_index"}
-    return frames.select(*[F.col(c).alias(n) for n, c in take.items()], F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos"), *record)
+    return frames.select(*[F.col(c).alias(n) for n, c in take.items()], _plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("pos"), *record)
 
 
 def _first(rows: DataFrame, records: bool) -> DataFrame:

@@ -81,6 +81,9 @@ def test_both_stages_draw_alike(spark, monkeypatch, proposals, k):
     chi = sum((n[i] - mean) ** 2 / (mean * (1 - k / 30)) for i in range(30))
     assert len(got) == 250 * k == len({(r["episode_index"], r["frame_index"]) for r in got}) and chi < 62  # 29 degrees of freedom, p about 0.0004
     assert all(r["draw_no"] is not None and r["num_samples_stats"] == k for r in got)
+    tried = max(10, proposals * 250 * k)
+    first = sum(r["draw_no"] < tried for r in got)
+    assert first == len(got) if proposals == 200 else first < len(got)
 
 
 def test_row_groups_are_those_of_the_files(spark, tmp_path):
