@@ -49,6 +49,20 @@ def p2_fill(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_containers"), F.ceil(used / F.max("sequence_length")).alias("least"), (1 - used / space).alias("unused_share"))
 
 
+@R.query()
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each stream by best fit, after the search, and at the lower bound of its blocks."""
+    return packing.gains(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+
+
+@R.query(f"WITH {_PIECES} SELECT stream_id, TRUE AS every_container_fits, TRUE AS split_only_if_longer FROM capped GROUP BY stream_id")
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each container of a stream is within its capacity, and only samples longer than that are split."""
+    made = packing.pack(table(spark, d, "pack_samples"), table(spark, d, "pack_budgets"))
+    whole = F.forall(F.arrays_zip("piece_counts", "sample_lens", "piece_nos"), lambda p: (p["piece_counts"] == 1) | (p["sample_lens"] == F.col("sequence_length")) | (p["piece_nos"] == p["piece_counts"] - 1))
+    return made.groupBy("stream_id").agg(F.bool_and(F.col("used") <= F.col("sequence_length")).alias("every_container_fits"), F.bool_and(whole).alias("split_only_if_longer"))
+
+
 _TIES = r"""
   named AS (SELECT DISTINCT episode_index AS e, lower(regexp_replace(domain_name, '[^\p{L}\p{N}]+', '', 'g')) AS dom, CAST(regexp_extract(recording_id, '\d+') AS BIGINT) AS rec
     FROM action_policy_batch WHERE episode_index IS NOT NULL AND domain_name IS NOT NULL AND regexp_matches(recording_id, '\d')),
@@ -79,6 +93,17 @@ def p3_split_shares(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("split", "n_records", (F.col("n_records") / F.col("total")).alias("share"))
 
 
+@R.query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT record_id, episode_index FROM action_policy_batch)) AS n_records, 0 AS divided_components, 0 AS divided_episodes
+  WHERE EXISTS (SELECT 1 FROM action_policy_batch)""")
+def p3_undivided(spark: SparkSession, d: str) -> DataFrame:
+    """Records that have a split, and components and episodes whose records are in several: none."""
+    made = splits.split(table(spark, d, "action_policy_batch"))
+    several = lambda key: F.count_distinct(F.when(F.col("n") > 1, F.col(key))).cast("int")
+    n = made.groupBy("component", "episode_index").agg(F.count_distinct("split").alias("n"), F.count(F.lit(1)).alias("records"), F.min("split").alias("least"), F.max("split").alias("most"))
+    comps = n.where("component is not null").groupBy("component").agg(F.min("least").alias("least"), F.max("most").alias("most")).agg(F.coalesce(F.sum((F.col("least") != F.col("most")).cast("int")), F.lit(0)).cast("int").alias("divided_components"))
+    return n.agg(F.sum("records").alias("n_records"), several("episode_index").alias("divided_episodes")).where("n_records > 0").crossJoin(F.broadcast(comps))
+
+
 def _drawn(spark: SparkSession, d: str, records: bool = False) -> DataFrame:
     return reservoir.draw(table(spark, d, "frames"), table(spark, d, "episodes"), table(spark, d, "stats_metadata"), records)
 

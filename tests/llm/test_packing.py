@@ -82,3 +82,52 @@ def test_kinds_of_change():
     assert change([3, 1], [9], 10) == ([1], [])
     assert change([3, 3], [9], 10) is None
     assert change([3], [2], 10) is None
+
+
+def test_exact_filling_of_planted_containers():
+    """Containers cut into pieces can all be filled again; best fit needs one more."""
+    rng = random.Random(5)
+    sizes = []
+    for _ in range(120):
+        cuts = sorted(rng.sample(range(1, 1000), 3))
+        sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 1000])]
+    sizes = np.array(sorted(sizes, reverse=True), dtype=np.int64)
+    assert len(packing.best_fit(sizes, 1000)) == 121 and len(packing.search(sizes, 1000)) == 120
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=60), st.integers(50, 90))
+def test_exact_filling_holds_everything_once(sizes, cap):
+    sizes = np.array(sizes, dtype=np.int64)
+    bins = packing.exact_fit(sizes, cap)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sizes[b].sum() <= cap for b in bins)
+
+
+def test_all_pairs_of_many_small_pieces_are_tried():
+    """Of 2,000 pieces only one pair, far apart in size, exchanges for the 500 with a gain."""
+    own = [3] * 1998 + [100, 401]
+    sizes = np.array([*own, 500, 99_499], dtype=np.int64)
+    home = np.array([0] * 2000 + [1, 1])
+    fill = np.array([sum(own), 99_999], dtype=np.int64)
+    give, take = packing.best_change(0, sizes, home, fill, np.array([2000, 2]), 100_000)[1:]
+    assert sorted(sizes[give].tolist()) == [100, 401] and sizes[take].tolist() == [500]
+
+
+def test_many_hopeless_containers_before_a_useful_one():
+    """A hundred emptier containers can give nothing; the next one can, and the search goes on to it."""
+    bins = [[60] for _ in range(100)] + [[41, 30], [90]]
+    sizes = np.array([s for b in bins for s in b], dtype=np.int64)
+    at = np.cumsum([0] + [len(b) for b in bins])
+    start = [list(range(a, b)) for a, b in zip(at, at[1:])]
+    made = [sorted(sizes[b].tolist()) for b in packing.improved(start, sizes, 100)]
+    assert [90] not in made or [30, 60] in made
+
+
+def test_emptiest_containers_of_blocks_are_packed_together(spark):
+    rng = random.Random(2)
+    rows = [row(i, 2, None, rng.randrange(1, 60)) for i in range(1500)]
+    made, _ = run(spark, rows)
+    total = sum(r[4] for r in rows)
+    assert sorted(i for r in made for i in r["sample_ids"]) == list(range(1500))
+    assert len({(r["stream_id"], r["block"], r["container"]) for r in made}) == len(made) <= -(-total // 100) + 2
