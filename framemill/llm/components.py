@@ -9,12 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framemill.session import cut, stored
+from framemill.session import broadcast_if_small, cut, stored
 
 #: One vertex in so many starts an expansion at each level.
 SEED_EVERY = 4
 #: Rounds of expansion at a level; vertices not reached by then become seeds of their own.
 ROUNDS = 3
+#: Links of a vertex that one task takes; those of a vertex with more are split over slices.
+HUB_LINKS = 50_000
 #: A label graph of at most so many edges is merged within one task (about 100 MB there).
 MERGE_EDGES = 1_000_000
 
@@ -24,7 +26,7 @@ def connected(vertices: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame
 
     ``vertices`` has a bigint column v, ``edges`` bigint columns a and b; direction, repeats,
     self-loops and rows with a null are of no account. The adjacency lists are hash-partitioned
-    once. Seeds spread over all vertices and are expanded at the same time, a hop a round; where
+    once, those of a vertex with very many links in slices. Seeds spread over all vertices and are expanded at the same time, a hop a round; where
     the regions of two seeds touch, their labels become an edge of a smaller label graph, which is
     solved in the same way until it is small enough (a counted bound) to be merged in one task. A
     vertex without edges is its own component. No round depends on the diameter: unreached
@@ -45,18 +47,29 @@ def _solve(vertices: DataFrame, links: DataFrame, seed: int, level: int) -> Data
     """(v, label): the same label for all vertices of a component. ``links`` holds both directions and is stored."""
     if links.limit(2 * MERGE_EDGES + 1).count() <= 2 * MERGE_EDGES and level > 0:
         return _merge(links)
-    adjacency = links.repartition("a").persist(StorageLevel.MEMORY_AND_DISK)
+    # at most one hub for each HUB_LINKS links
+    hubs = broadcast_if_small(stored(links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_LINKS).cast("int").alias("slices")).where("slices > 1"), "hubs"), 48)
+    part = lambda of, by: F.coalesce(F.pmod(F.xxhash64(by), of), F.lit(0)).cast("int")
+    sliced = links.join(hubs, "a", "left").join(hubs.select(F.col("a").alias("b"), F.col("slices").alias("b_slices")), "b", "left")
+    sliced = sliced.select("a", "b", part(F.col("slices"), "b").alias("a_slice"), part(F.col("b_slices"), "a").alias("b_slice"))
+    adjacency = sliced.repartition("a", "a_slice").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def every_slice(labels: DataFrame, at: str, label: str) -> DataFrame:
+        """Labels of vertices once for each slice of their links, as columns ``at``, its slice and ``label``."""
+        met = labels.join(hubs.withColumnRenamed("a", "v"), "v", "left")
+        return met.select(F.col("v").alias(at), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))).alias(f"{at}_slice"), F.col("label").alias(label))
+
     visited = cut(vertices.where(F.pmod(F.xxhash64("v", F.lit(seed + level)), F.lit(SEED_EVERY)) == 0).select("v", F.col("v").alias("label")))
     frontier = visited
     for _ in range(ROUNDS):
-        reached = adjacency.join(frontier, adjacency["a"] == frontier["v"]).groupBy(F.col("b").alias("v")).agg(F.min("label").alias("label"))
+        reached = adjacency.join(every_slice(frontier, "a", "label"), ["a", "a_slice"]).groupBy(F.col("b").alias("v")).agg(F.min("label").alias("label"))
         frontier = cut(reached.join(visited.select("v"), "v", "left_anti"))
         visited = visited.union(frontier)
     rest = vertices.join(visited.select("v"), "v", "left_anti").select("v", F.col("v").alias("label"))
     labels = cut(visited.union(rest))
     touching = (
-        adjacency.join(labels.withColumnRenamed("v", "a").withColumnRenamed("label", "la"), "a")
-        .join(labels.withColumnRenamed("v", "b").withColumnRenamed("label", "lb"), "b")
+        adjacency.join(every_slice(labels, "a", "la"), ["a", "a_slice"])
+        .join(every_slice(labels, "b", "lb"), ["b", "b_slice"])
         .where("la <> lb")
         .select(F.col("la").alias("a"), F.col("lb").alias("b"))
         .distinct()

@@ -26,9 +26,10 @@ def roots(vertices, edges):
     return {v: find(v) for v in vertices}
 
 
-@pytest.mark.parametrize("limit", [10, 1_000_000])
-def test_components(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,hub", [(10, 50_000), (10, 5), (1_000_000, 20)])
+def test_components(spark, monkeypatch, limit, hub):
     monkeypatch.setattr(components, "MERGE_EDGES", limit)
+    monkeypatch.setattr(components, "HUB_LINKS", hub)
     rng = random.Random(limit)
     n = 300
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(160, n), rng.randrange(160, n)) for _ in range(90)]
