@@ -11,8 +11,8 @@ INVISIBLE = "﻿​‌‍⁠­"
 _TAG = re.compile(r"^\s*<([A-Za-z][\w-]*)[^<>]*>(.*)</\1\s*>\s*$", re.S)
 _DECODER = json.JSONDecoder()
 
-#: How often a value may be wrapped in another text before it is taken as text.
-MAX_DEPTH = 8
+#: Layers of mark-up around a value after which it is taken as text. Quoting doubles the signs of a text each time, so none is quoted so often.
+MAX_DEPTH = 100
 
 
 def _load(text: str):
@@ -42,7 +42,7 @@ def _readings(text: str):
         yield m[2]
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'`":
         yield text.strip(text[0])
-    if '\\"' in text:
+    if '\\"' in text and not (text[0] == text[-1] == '"'):
         yield f'"{text}"'
     if "&quot;" in text or "&#34;" in text:
         yield html.unescape(text)

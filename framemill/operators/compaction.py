@@ -96,6 +96,48 @@ def concat_files(parts: DataFrame, out_dir: str, target_bytes: int = 128 << 20,
     return stored(tasks.mapInArrow(write, MANIFEST), f"manifest-{run}")
 
 
+#: First line of the small text files that carry one.
+HEADER = "# frames"
+
+
+def write_small_files(frames: DataFrame, out_dir: str, kind: str = "text", header: bool = False) -> DataFrame:
+    """Write each (chunk_index, file_index) of ``frames`` as a file of JSON lines: (path, size_bytes, crc), stored.
+
+    ``kind`` is "text" (``header`` puts HEADER first) or "zstd" (a complete frame a file). Rows without a chunk or file share one. The layout that
+    compaction finds: as many files as there are pairs, written by the tasks that hold them. Files carry the attempt in their name.
+    """
+    columns = [F.col(f"`{c}`") for c in frames.columns]
+    rows = frames.select(F.coalesce("chunk_index", F.lit(-1)).alias("c"), F.coalesce("file_index", F.lit(-1)).alias("f"), F.concat(F.to_json(F.struct(*columns), _JSON), F.lit("\n")).alias("line"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(out_dir)
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=True).compress if kind == "zstd" else bytes
+        made, current, held = [], None, []
+
+        def close():
+            data = pack(b"".join([f"{HEADER}\n".encode()] * header + held))
+            name = f"{current[0]}/{current[1]}-{uuid.uuid4().hex}"
+            store.create_dir(f"{base}/{current[0]}", recursive=True)
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(data)
+            made.append((f"{out_dir}/{name}", len(data), zlib.crc32(data)))
+
+        for batch in batches:
+            for c, f, line in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, f) != current:
+                    if current is not None:
+                        close()
+                    current, held = (c, f), []
+                held.append(line.encode("utf-8", "surrogatepass"))
+        if current is not None:
+            close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["path", "size_bytes", "crc"])
+
+    sorted_rows = rows.repartition("c", "f").sortWithinPartitions("c", "f")
+    return stored(sorted_rows.mapInArrow(write, "path string, size_bytes bigint, crc bigint"), "small")
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])

@@ -130,19 +130,19 @@ class Shredder:
         else:
             inner, below = shape[0], path + "[]"
             slots = value if isinstance(value, list) else [value]
-            if value is None or not slots:
-                self._missing(inner, below, r, d)
+            if value is None or not slots:  # no array, or one without elements
+                self._missing(inner, below, r, d + (value is not None))
                 return
             for i, slot in enumerate(slots):
                 at = r if i == 0 else depth + 1
                 empty = is_blank(slot) or (isinstance(inner, dict) and not isinstance(slot, dict))
                 if empty:  # the slot counts for the positions, but holds nothing
-                    self._missing(inner, below, at, d + 1)
+                    self._missing(inner, below, at, d + 2)
                 elif inner == LEAF:
-                    self._emit(below, at, d + 2, _text(slot))
+                    self._emit(below, at, d + 3, _text(slot))
                 else:
-                    self._emit(below, at, d + 2, "")
-                    self._walk(inner, slot, below, at, d + 2, depth + 1)
+                    self._emit(below, at, d + 3, "")
+                    self._walk(inner, slot, below, at, d + 3, depth + 1)
 
 
 def _leaves(shape, path: str) -> Iterator[tuple[str, int]]:
@@ -159,6 +159,31 @@ def _leaves(shape, path: str) -> Iterator[tuple[str, int]]:
         yield from _leaves(inner, f"{path}.{name}" if path else name)
 
 
+def full_levels(shape, path: str = "", d: int = 0) -> dict[str, int]:
+    """The definition level of each column at which its value exists: an object counts one, an array three (array, slot, element), a leaf outside an array one."""
+    if shape == LEAF:
+        return {path: d if path.endswith("[]") else d + 1}
+    if isinstance(shape, list):
+        return full_levels(shape[0], path + "[]", d + 3)
+    out = {path: d} if path.endswith("[]") else {}
+    for name, inner in shape.items():
+        out |= full_levels(inner, f"{path}.{name}" if path else name, d + isinstance(inner, dict))
+    return out
+
+
+def states(shredded: DataFrame, shape: dict = PROMPT_SHAPE) -> DataFrame:
+    """(path, state, n): how often a leaf or element of each column is 'there', 'blank' in its array, in an 'empty' array, or 'missing'.
+
+    Told by the definition levels alone. 'missing' stands for a null, blank or absent value, or an absent one above it.
+    """
+    full = full_levels(shape)
+    level = F.create_map(*[F.lit(x) for pair in full.items() for x in pair])[F.col("path")]
+    each = shredded.select("path", F.explode("def").alias("d")).groupBy("path", "d").agg(F.count(F.lit(1)).alias("n"))
+    short, array = level - F.col("d"), F.col("path").endswith("[]")
+    state = F.when(short == 0, "there").when(array & (short == 1), "blank").when(array & (short == 2), "empty").otherwise("missing")
+    return each.groupBy("path", state.alias("state")).agg(F.sum("n").alias("n"))
+
+
 def record_of(raw: str | None) -> dict | None:
     """The record in a raw text, out of a wrapper with the key ``t2i``; None where it or its prompt is no whole JSON object."""
     ok, value = parse(raw)
@@ -214,12 +239,14 @@ def shred(records: DataFrame, shape: dict = PROMPT_SHAPE, paths: list[str] | Non
 ENTRIES = "record_key string, record_id bigint, path string, subject_pos int, child_pos int, value string"
 
 
-def entries(shredded: DataFrame) -> DataFrame:
+def entries(shredded: DataFrame, shape: dict = PROMPT_SHAPE) -> DataFrame:
     """What exists in the columns, with its positions: (record_key, record_id, path, subject_pos, child_pos, value).
 
     ``subject_pos`` and ``child_pos`` are the 0-based places in the first and second array on the
-    path (null where the path has none); slots that hold nothing count for them but give no row.
+    path (null where the path has none); slots that hold nothing count for them but give no row. What exists has
+    the full definition level of its column. A path of more arrays has the places in its last two.
     """
+    full = full_levels(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,12 +254,15 @@ def entries(shredded: DataFrame) -> DataFrame:
                 continue
             lists = batch.column(3)
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            rep, val = np.asarray(lists.flatten()), batch.column(5).flatten()
-            outer, _ = _count(rep <= 1, rep == 0)
-            inner, _ = _count(np.ones(len(rep), bool), rep <= 1)
-            have = val.is_valid().to_numpy(zero_copy_only=False)
+            rep, defs, val = np.asarray(lists.flatten()), np.asarray(batch.column(4).flatten()), batch.column(5).flatten()
+            paths = batch.column(2).to_pylist()
+            depth = np.array([p.count("[]") for p in paths])
+            last = np.maximum(depth - 2, 0)[owner]
+            outer, _ = _count(rep <= last + 1, rep <= last)
+            inner, _ = _count(np.ones(len(rep), bool), rep <= last + 1)
+            have = defs == np.array([full[p] for p in paths])[owner]
             own = owner[have]
-            arrays = np.array([p.count("[]") for p in batch.column(2).to_pylist()])[own]
+            arrays = depth[own]
             take = pa.array(own)
             first = pa.array(outer[have], pa.int32(), mask=arrays < 1)
             second = pa.array(inner[have], pa.int32(), mask=arrays < 2)
@@ -263,7 +293,7 @@ def flat_tables(records: DataFrame, shape: dict = PROMPT_SHAPE) -> dict[str, Dat
     Further tables have a row per element of each other array of the record (actions, text_and_signage_elements,
     tags), with its place ``pos``. Columns ``rest`` hold what the shape does not name, as JSON.
     """
-    found = entries(shred(records, shape))
+    found = entries(shred(records, shape), shape)
     names = {p: _column(p) for p, _ in _leaves(shape, "")}
 
     def wide(keys: list[str], paths: list[str], element: str | None = None) -> DataFrame:
