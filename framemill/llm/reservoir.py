@@ -149,12 +149,13 @@ def draw(frames: DataFrame, episodes: DataFrame, metadata: DataFrame, records: b
     size = groups.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("m")).first()
     proposals = max(LEAST_PROPOSALS, PROPOSALS * (goal["k"] or 0)) if goal["k"] and size["g"] else 0
     met = _fetched(groups, proposals, max(1, size["g"]), max(1, size["m"] or 1), goal["seed"] or 0)
-    candidates = stored(_numbered(met, of).select("domain", "k", "key", "path", "pos", "i"), "candidates")
+    # a domain has at most as many candidates as there were proposals; the first ones of twice its sample are looked at
+    nth = F.row_number().over(Window.partitionBy("domain").orderBy("i"))
+    candidates = stored(_numbered(met, of).withColumn("nth", nth).where(F.col("nth") <= 2 * F.col("k") + 100).select("domain", "k", "key", "path", "pos", "i"), "candidates")
     keys = candidates.select("key").distinct()
     rows = _numbered(_stored_rows(frames, records), of)
     earliest = _first(rows.join(broadcast_if_small(keys, 32), "key", "left_semi"), records)
     real = candidates.join(earliest.drop("domain", "key"), ["path", "pos"])
-    # a domain has at most as many candidates as there were proposals
     accepted = stored(real.withColumn("nth", F.row_number().over(Window.partitionBy("domain").orderBy("i"))).withColumnRenamed("i", "draw_no"), "accepted")
     got = stored(want.join(accepted.groupBy("domain").agg(F.count(F.lit(1)).alias("got")), "domain", "left").na.fill(0, ["got"]), "got")
     short = got.where("got < k")
