@@ -24,6 +24,9 @@ MOST_EDITS = (2 * MIN_WORDS - 1) // WORDS_PER_EDIT
 #: or one in 15, so that some five words in a row are untouched: the first mask, which spans five, misses none of them.
 #: The second one reaches over a changed word and its neighbour.
 MASKS = ((0, 1, 3, 4), (0, 1, 2, 5, 6, 7))
+#: Seeds that any passage shares with its item: with one edit in 12 words the runs beside it hold three places of the first mask, with two in 16
+#: the runs are no shorter than 5, 5 and 4 words together and hold two.
+LEAST_SEEDS = 2
 #: Words on each side of a seed that a shortest passage around it may reach, its added words included.
 REACH = 2 * MIN_WORDS + MOST_EDITS
 #: Bits for each seed of an item in the filter that corpus seeds pass before they are shuffled, and the most bits of all.
@@ -351,7 +354,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     their hash. Most corpus seeds meet no item: a filter of bounded size, made from the hashes of the items' seeds, leaves
     those out where they arise, so the corpus is not shuffled; the filter has no false negatives, and where more items fill it up only
     more seeds go into the join. A hash that very many items share is split over slices. What is joined are the seeds' places;
-    each document's stretch around them meets the items found there once, to be verified exactly, changed, added and
+    each document's stretch around them meets the items found there, with as many seeds as any passage has, once, to be verified exactly, changed, added and
     dropped words included. Every partner is found: seeds have no cap. Null and empty texts hold nothing;
     items of fewer than 12 words have no passage. Repeated documents and items with their ids each
     give a row. Texts are read whole. Empty tables give no rows.
@@ -366,6 +369,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     there = known.join(crowded, "hash", "left").select("hash", slice_of.alias("slice"), "item", F.col("place").alias("item_place"))
     seen = hits.select("stretch", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("stretch", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
     seen = seen.join(crowded, "hash", "left").select("stretch", "hash", "place", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))).alias("slice"))
-    pairs = seen.join(there, ["hash", "slice"]).groupBy("stretch", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
+    pairs = seen.join(there, ["hash", "slice"]).groupBy("stretch", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"), F.count(F.lit(1)).alias("n"))
+    pairs = pairs.where(F.col("n") >= LEAST_SEEDS).drop("n")
     both = pairs.join(hits.select("stretch", "doc_id", "codes"), "stretch").join(wanted.withColumnRenamed("codes", "item_codes"), "item")
     return both.select("doc_id", "item_id", "codes", "item_codes", "shifts").mapInPandas(_verify, "doc_id bigint, item_id bigint").distinct()
