@@ -248,7 +248,7 @@ def union_tasks(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH n AS (SELECT max(episode_index) + 1 AS e, CAST(sum(coalesce(num_frames, 0)) AS BIGINT) AS f FROM episodes WHERE fps <= 15)
   SELECT episode_index, dataset_from_index FROM episodes WHERE fps <= 15 UNION ALL SELECT episode_index + e, dataset_from_index + f FROM episodes, n WHERE fps > 15""")
 def merge_datasets(spark: SparkSession, d: str) -> DataFrame:
-    """EDT-01, EDT-02, EDT-04, PRJ-19: the second data set behind the first."""
+    """PRJ-19: numbers of a second table of episodes moved behind those of the first; ``store_merge`` merges data sets."""
     e = table(spark, d, "episodes")
     a, b = e.where("fps <= 15"), e.where("fps > 15")
     n = a.agg((F.max("episode_index") + 1).alias("e"), F.sum(F.coalesce("num_frames", F.lit(0))).alias("f")).first()
@@ -259,7 +259,7 @@ def merge_datasets(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""WITH {STEPS}, k AS (SELECT episode_index AS ep, row_number() OVER (ORDER BY episode_index) - 1 AS new_index FROM episodes WHERE episode_index NOT IN (SELECT episode_index FROM episodes WHERE domain_name = 'roadview'))
   SELECT new_index, count(*) AS n FROM steps JOIN k USING (ep) GROUP BY 1""")
 def delete_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """EDT-05, EDT-08, EDT-09."""
+    """Frames of the remaining episodes under new numbers; ``store_delete`` rewrites a data set."""
     e = table(spark, d, "episodes").select(F.col("episode_index").alias("ep"), "domain_name")
     left = editing.without(steps(spark, d).select("ep", "i"), e, e.where("domain_name = 'roadview'"), "ep")
     return left.groupBy("new_index").agg(F.count(F.lit(1)).alias("n"))
@@ -295,7 +295,8 @@ def top_k_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(20)
 
 
-@R.query("SELECT stream_id, min(chunk) AS start_index FROM (SELECT stream_id, arrival_no AS chunk FROM pack_samples) GROUP BY 1")
+@R.query("SELECT chunk_index, file_index, min(global_index) AS start_index, count(*) AS n FROM frames WHERE chunk_index IS NOT NULL AND file_index IS NOT NULL GROUP BY 1, 2")
 def file_start_index(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-03."""
-    return table(spark, d, "pack_samples").groupBy("stream_id").agg(F.min("arrival_no").alias("start_index"))
+    """SRC-03: the least global row of each (chunk, file), from which its rows count."""
+    rows = table(spark, d, "frames").where("chunk_index is not null and file_index is not null")
+    return rows.groupBy("chunk_index", "file_index").agg(F.min("global_index").alias("start_index"), F.count(F.lit(1)).alias("n"))

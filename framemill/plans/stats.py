@@ -147,7 +147,8 @@ def asinh_and_bounded(spark: SparkSession, d: str) -> DataFrame:
 def scale_and_pad(spark: SparkSession, d: str) -> DataFrame:
     """MTH-07, MTH-08."""
     v = _vectors(spark, d, "mn", "mx")
-    s = F.transform(vectors.scaled(F.col("x"), [10.0] * 3 + [0.5] * 4), lambda e: F.round(e, 6))
+    # rounding keeps the sign of a number that becomes zero
+    s = F.transform(vectors.scaled(F.col("x"), [10.0] * 3 + [0.5] * 4), lambda e: F.when(F.round(e, 6) == 0, e * 0.0).otherwise(F.round(e, 6)))
     return v.select("gi", "c", "f", vectors.padded(s, 10).alias("p"))
 
 

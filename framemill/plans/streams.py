@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framemill.functions import rotations
 from framemill.plans.registry import Registry
 from framemill.session import shared_dir, table
-from framemill.sources import formats, manifests, store
+from framemill.sources import formats, manifests, rewrite, store
 from framemill.streaming import stateful
 
 R = Registry()
@@ -48,18 +48,26 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return stateful.finished(stateful.first_seen(_events(spark, d), "ts", "400 days", ["event_id"]).select("event_id"), name="seen")
 
 
-def _built(spark: SparkSession, d: str) -> store.Episodes:
+def _root(spark: SparkSession) -> str:
     root = f"{shared_dir(spark)}/framemill-store-{uuid.uuid4().hex}"
-    root = root if "://" in root else f"file://{root}"
-    ev = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), "ts", "event_id", F.col("event_type").alias("task"), F.array("value").alias("state"))
+    return root if "://" in root else f"file://{root.removeprefix('file:')}"
+
+
+def _built(spark: SparkSession, d: str, where: str = "true") -> store.Episodes:
+    root = _root(spark)
+    ev = _rows(spark, d, where)
     store.create(ev, root, 10.0, [F.col("ts"), F.col("event_id")], ["state"])
     return store.Episodes(spark, store.discover([root])[0])
 
 
+def _rows(spark: SparkSession, d: str, where: str) -> DataFrame:
+    return table(spark, d, "events").where(where).select(F.col("user_id").alias("episode_index"), "ts", "event_id", F.col("event_type").alias("task"), F.array("value").alias("state"))
+
+
 @R.query("""SELECT event_id, user_id AS episode_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, round((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 10.0, 6) AS "timestamp",
   row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS "index", dense_rank() OVER (ORDER BY event_type) - 1 AS task_index FROM events""")
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-01, SRC-08, SRC-12, SRC-33, SNK-01..03, SNK-07, SNK-09: written as a data set and read back."""
+    """SRC-01, SRC-08, SRC-12, SRC-33, SNK-03, SNK-07, SNK-09: written as a data set and read back."""
     return _built(spark, d).frames(["event_id", "episode_index", "frame_index", "timestamp", "index", "task_index"]).withColumn("timestamp", F.round("timestamp", 6))
 
 
@@ -75,6 +83,57 @@ def store_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _built(spark, d).stats().select("feature", "dim", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+_EDITED = """SELECT event_id, e AS episode_index, row_number() OVER (PARTITION BY e ORDER BY ts, event_id) - 1 AS frame_index, row_number() OVER (ORDER BY e, ts, event_id) - 1 AS "index", event_type AS task FROM r"""
+
+
+def _edited(ds: store.Episodes) -> DataFrame:
+    tasks = ds.tasks().select("task_index", "task")
+    return ds.frames(["event_id", "episode_index", "frame_index", "index", "task_index"]).join(F.broadcast(tasks), "task_index", "left").drop("task_index")
+
+
+@R.query(f"WITH n AS (SELECT *, user_id % 2 AS part FROM events), k AS (SELECT part, user_id, row_number() OVER (ORDER BY part, user_id) - 1 AS e FROM (SELECT DISTINCT part, user_id FROM n)), r AS (SELECT n.*, e FROM n JOIN k USING (part, user_id)) {_EDITED}")
+def store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """EDT-01, EDT-02, EDT-04: two data sets merged on storage, read back from the files."""
+    roots = [_built(spark, d, f"user_id % 2 = {k}").root for k in (0, 1)]
+    rewrite.merge(spark, roots, out := _root(spark), ["state"])
+    return _edited(store.Episodes(spark, out))
+
+
+@R.query(f"WITH k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS e FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0)), r AS (SELECT events.*, e FROM events JOIN k USING (user_id)) {_EDITED}")
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """EDT-05, EDT-08, EDT-09: a data set rewritten without some episodes, the others numbered anew."""
+    ds = _built(spark, d)
+    rewrite.delete(ds, ds.episodes().where("episode_index % 3 = 0"), out := _root(spark), ["state"])
+    return _edited(store.Episodes(spark, out))
+
+
+@R.query("WITH k AS (SELECT user_id, user_id % 3 AS m, row_number() OVER (PARTITION BY least(1, user_id % 3) ORDER BY user_id) - 1 AS episode_index FROM (SELECT DISTINCT user_id FROM events)) SELECT CASE WHEN m = 0 THEN 'held' ELSE 'train' END AS part, episode_index, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN k USING (user_id) GROUP BY ALL")
+def store_split(spark: SparkSession, d: str) -> DataFrame:
+    """EDT-06: a data set split into data sets of their own, read back."""
+    ds = _built(spark, d)
+    parts = {"held": ds.episodes().where("episode_index % 3 = 0"), "train": ds.episodes().where("episode_index % 3 <> 0")}
+    roots = rewrite.split(ds, parts, _root(spark), ["state"])
+    each = [store.Episodes(spark, r).frames().withColumn("part", F.lit(name)) for name, r in roots.items()]
+    total = F.round(F.sum(F.element_at("state", 1)), 4)
+    return each[0].unionByName(each[1]).groupBy("part", "episode_index").agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
+
+
+@R.query(f"WITH m AS (SELECT max(user_id) AS top FROM events WHERE user_id % 2 = 0), k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 1)), r AS (SELECT events.*, coalesce(top + 1 + k.n, user_id) AS e FROM events CROSS JOIN m LEFT JOIN k USING (user_id)) {_EDITED}")
+def store_append(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-01, SNK-02, SNK-05: episodes committed behind those of a data set, in new files."""
+    ds = _built(spark, d, "user_id % 2 = 0")
+    rewrite.append(_rows(spark, d, "user_id % 2 = 1"), ds.root, [F.col("ts"), F.col("event_id")], ["state"], rows_per_file=5000)
+    return _edited(store.Episodes(spark, ds.root))
+
+
+@R.query("SELECT 'state' AS feature, 0 AS dim, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events")
+def store_append_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """STM-03, SRC-05: statistics merged when episodes were appended are those of all frames."""
+    ds = _built(spark, d, "user_id % 2 = 0")
+    rewrite.append(_rows(spark, d, "user_id % 2 = 1"), ds.root, [F.col("ts"), F.col("event_id")], ["state"])
+    return store.Episodes(spark, ds.root).stats().select("feature", "dim", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 def _clips(spark: SparkSession, d: str) -> DataFrame:
     """Curator lines made of the episode table: windows of 40 frames, one in four without a caption; written as JSON lines and read under the declared schema."""
     e = table(spark, d, "episodes")

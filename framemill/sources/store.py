@@ -53,9 +53,16 @@ class Episodes:
         with store.open_input_stream(at) as f:
             self.info = json.loads(f.read())
 
+    def folders(self, what: str) -> list[str]:
+        """The folders that hold the committed 'data', 'episodes' or 'tasks'."""
+        return self.info.get(what) or ["data" if what == "data" else f"meta/{what}"]
+
+    def _read(self, what: str) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), [self.spark.read.parquet(f"{self.root}/{f}") for f in self.folders(what)])
+
     def frames(self, columns: list[str] | None = None, episodes: list[int] | DataFrame | None = None) -> DataFrame:
         """Frames with the declared columns; a list of episodes is pushed into the scan, a DataFrame of them becomes a semi join."""
-        df = self.spark.read.parquet(f"{self.root}/data").drop("chunk")
+        df = self._read("data").drop("chunk")
         if isinstance(episodes, DataFrame):
             df = df.join(broadcast_if_small(episodes.select("episode_index").distinct(), 48), "episode_index", "left_semi")
         elif episodes is not None:
@@ -67,18 +74,19 @@ class Episodes:
         row = self.episodes().where(F.col("episode_index") == episode).select("length").first()
         if row is None or not 0 <= start < stop <= row["length"]:
             raise ValueError(f"[{start}, {stop}) is not within episode {episode}")
-        df = self.spark.read.parquet(f"{self.root}/data").where((F.col("episode_index") == episode) & F.col("frame_index").between(start, stop - 1))
+        df = self._read("data").where((F.col("episode_index") == episode) & F.col("frame_index").between(start, stop - 1))
         return df.orderBy("frame_index").select(*columns)
 
     def episodes(self, with_stats: bool = False) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/meta/episodes")
+        df = self._read("episodes")
         return df if with_stats else df.drop(*[c for c in df.columns if c.startswith("stats/")])
 
     def tasks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/meta/tasks")
+        return self._read("tasks")
 
     def stats(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/meta/stats") if exists(f"{self.root}/meta/stats") else None
+        at = f"{self.root}/{self.info.get('stats', 'meta/stats')}"
+        return self.spark.read.parquet(at) if exists(at) else None
 
 
 def open_all(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -89,10 +97,10 @@ def open_all(spark: SparkSession, roots: list[str]) -> DataFrame:
 REQUIRED = ("episode_index", "frame_index", "timestamp", "index", "task_index")
 
 
-def create(frames: DataFrame, root: str, fps: float, order: list[Column], vectors: list[str] = (), rows_per_file: int = 1_000_000, episodes_per_chunk: int = 1000) -> None:
+def create(frames: DataFrame, root: str, fps: float, order: list[Column], vectors: list[str] = (), rows_per_file: int = 1_000_000, episodes_per_chunk: int = 1000, drop: list[str] = ()) -> None:
     """Write a data set from rows with episode_index and task: numbers, timestamps (number / fps), dense global index, task dimension, episode table and statistics.
 
-    Existing data are never overwritten. Null episodes are refused, as are names that hold a slash.
+    Existing data are never overwritten. Columns of ``drop`` only order the rows. Null episodes are refused, as are names that hold a slash.
     """
     bad = [c for c in frames.columns if "/" in c]
     if bad:
@@ -100,7 +108,7 @@ def create(frames: DataFrame, root: str, fps: float, order: list[Column], vector
     if not frames.where("episode_index is null").isEmpty():
         raise ValueError("rows without an episode")
     spark = frames.sparkSession
-    rows = numbered(frames, ["episode_index"], order, "frame_index")
+    rows = numbered(frames, ["episode_index"], order, "frame_index").drop(*drop)
     dim = numbered(rows.select("task").where("task is not null").distinct().withColumn("_g", F.lit(0)), ["_g"], [F.col("task")], "task_index").drop("_g")
     dim.write.parquet(f"{root}/meta/tasks")
     dim = spark.read.parquet(f"{root}/meta/tasks")
