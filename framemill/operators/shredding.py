@@ -159,6 +159,17 @@ def _leaves(shape, path: str) -> Iterator[tuple[str, int]]:
         yield from _leaves(inner, f"{path}.{name}" if path else name)
 
 
+def pruned(shape, wanted: set[str], path: str = ""):
+    """What of a shape leads to wanted columns, None for nothing. Levels stay what they are."""
+    if shape == LEAF:
+        return shape if path in wanted else None
+    if isinstance(shape, list):
+        inner = pruned(shape[0], wanted, path + "[]")
+        return [{} if inner is None else inner] if inner is not None or path + "[]" in wanted else None
+    out = {name: part for name, inner in shape.items() if (part := pruned(inner, wanted, f"{path}.{name}" if path else name)) is not None}
+    return out or None
+
+
 def full_levels(shape, path: str = "", d: int = 0) -> dict[str, int]:
     """The definition level of each column at which its value exists: an object counts one, an array three (array, slot, element), a leaf outside an array one."""
     if shape == LEAF:
@@ -214,7 +225,7 @@ def shred(records: DataFrame, shape: dict = PROMPT_SHAPE, paths: list[str] | Non
     wanted = set(paths) if paths is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shredder = Shredder(shape)
+        shredder = Shredder((pruned(shape, wanted) or {}) if wanted is not None else shape)
         for batch in batches:
             out = [[] for _ in range(8)]
             for rid, raw, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):

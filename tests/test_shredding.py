@@ -126,3 +126,32 @@ def test_nothing_of_a_record_is_lost(spark):
     assert [(x["pos"], x["category"], x["text"]) for x in t["text_and_signage_elements"]] == [(0, "sign", "Exit")]
     assert {(x["pos"], x["value"]) for x in t["tags"]} == {(0, "r"), (2, "s")}
     assert [(x["subject_pos"], x["rest"]) for x in t["subjects"]] == [(1, '{"mood":"calm"}')]
+
+
+def test_a_pruned_shape_has_the_same_columns():
+    from framemill.operators.shredding import PROMPT_SHAPE, Shredder, full_levels, pruned
+
+    record = {"name": "n", "prompt": {"background_setting": "b", "subjects": [{"description": "d", "appearance_details": ["x", None, ""], "action": []}, None, {"action": "a"}], "actions": None}}
+    whole = Shredder(PROMPT_SHAPE)(record)
+    for some in ({"prompt.subjects[]"}, {"prompt.subjects[].action[]", "name"}, {"prompt.background_setting"}, {"prompt.subjects[]", "prompt.subjects[].appearance_details[]"}):
+        part = Shredder(pruned(PROMPT_SHAPE, some))(record)
+        assert all(part[p] == whole[p] for p in some)
+    full = full_levels(PROMPT_SHAPE)
+    assert set(full) == set(whole)
+    details = whole["prompt.subjects[].appearance_details[]"]
+    top = full["prompt.subjects[].appearance_details[]"]
+    assert [top - d for d in details[1]] == [0, 1, 1, top - 3, 3]  # there, blank, blank, a blank subject, no array
+    action = whole["prompt.subjects[].action[]"]
+    assert [top - d for d in action[1]] == [2, top - 3, 0]  # empty, a blank subject, there
+
+
+def test_json_quoted_many_times(spark):
+    import json
+
+    from framemill.functions.jsontext import parse
+
+    text = json.dumps({"prompt": {"subjects": ["x"]}})
+    for _ in range(12):
+        text = json.dumps(text)
+    assert parse(text) == (True, {"prompt": {"subjects": ["x"]}})
+    assert parse("<a>" * 50 + "{}" + "</a>" * 50)[0] and parse('"\\"' * 3000)[0] is False
