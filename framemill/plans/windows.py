@@ -221,13 +221,13 @@ def subtask_bounds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "episodes").where("num_frames > 0").select("episode_index", start.alias("start"), stop.alias("stop"))
 
 
-@R.query(f"""WITH {STEPS}, ends AS (SELECT ep, max(i) AS z FROM steps GROUP BY ep) SELECT s.ep, s.i, t.a AS target FROM steps s JOIN ends USING (ep) LEFT JOIN steps t ON t.ep = s.ep AND t.i = s.i + 5 WHERE s.i + 5 <= z""")
+@R.query(f"""WITH {STEPS}, ends AS (SELECT ep, max(i) AS z FROM steps GROUP BY ep) SELECT s.ep, s.i, CASE WHEN NOT isnan(t.a) THEN t.a END AS target FROM steps s JOIN ends USING (ep) LEFT JOIN steps t ON t.ep = s.ep AND t.i = s.i + 5 WHERE s.i + 5 <= z""")
 def offset_targets(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-16: targets some frames ahead; starts without one are left out."""
+    """WIN-16: targets some frames ahead, null where the frame is missing or its number is NaN; starts beyond the last target are left out."""
     base = steps(spark, d).select("ep", "i", "a")
     ends = broadcast_if_small(base.groupBy("ep").agg(F.max("i").alias("z")), 64)
     ahead = episodic.windowed(base, ["ep"], "i", 0, 5, {"target": episodic.at_offset(F.col("a"), 5)})
-    return ahead.join(ends, "ep").where("i + 5 <= z").select("ep", "i", "target")
+    return ahead.join(ends, "ep").where("i + 5 <= z").select("ep", "i", F.when(~F.isnan("target"), F.col("target")).alias("target"))
 
 
 @R.query(f"""WITH {STEPS}, p AS (SELECT s.ep, s.i, s.ts - q.ts AS gap, e.fps FROM steps s JOIN steps q ON q.ep = s.ep AND q.i = s.i - 1 JOIN episodes e ON e.episode_index = s.ep)
