@@ -15,17 +15,18 @@ def connect(data_dir):
     return con
 
 
-def norm(v):
+def norm(v, side, inside=False):
+    """Text of a value: NaN is equal to none, zeros keep their sign, numbers in lists are exact, others have nine digits."""
     if isinstance(v, float):
-        return "nan" if v != v else f"{v + 0.0:.9g}"
+        return f"nan of {side}" if v != v else repr(v) if inside else f"{v:.9g}"
     if isinstance(v, (list, tuple)):
-        return "[" + ",".join(norm(x) for x in v) + "]"
+        return "[" + ",".join(norm(x, side, True) for x in v) + "]"
     return str(v)
 
 
 def spark_rows(df):
     cols = sorted(df.columns)
-    return cols, sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
+    return cols, sorted(tuple(norm(r[c], 'spark') for c in cols) for r in df.collect())
 
 
 def sql_rows(con, sql):
@@ -33,4 +34,4 @@ def sql_rows(con, sql):
     names = [d[0] for d in res.description]
     cols = sorted(names)
     at = [names.index(c) for c in cols]
-    return cols, sorted(tuple(norm(r[i]) for i in at) for r in res.fetchall())
+    return cols, sorted(tuple(norm(r[i], 'sql') for i in at) for r in res.fetchall())
