@@ -92,10 +92,10 @@ def sequence_plan(frames: Column, u: Column, weights: dict[int, float]) -> Colum
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def domain(name: Column) -> tuple[Column, Column]:
-    """(id, width) of a domain; nulls for an unknown one."""
+def domain(name: Column, known: dict[str, tuple[int, int]] = DOMAINS) -> tuple[Column, Column]:
+    """(id, width) of a domain by its name, in any case and with blanks around; nulls for an unknown one."""
     key = F.lower(F.trim(name))
-    table = lambda k: F.create_map(*[F.lit(x) for d, v in DOMAINS.items() for x in (d, v[k])])
+    table = lambda k: F.create_map(*[F.lit(x) for d, v in known.items() for x in (d, v[k])])
     return F.try_element_at(table(0), key), F.try_element_at(table(1), key)
 
 

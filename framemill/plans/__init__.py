@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of queries, in the order of registration.
-MODULES = ("windows", "filters", "stats", "samples", "texts", "streams", "more", "problems", "choices")
+MODULES = ("windows", "filters", "stats", "samples", "texts", "streams", "more", "problems", "choices", "surface")
 
 
 def registries():

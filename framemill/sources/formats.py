@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _READERS: dict[str, Callable[[SparkSession, str, dict], DataFrame]] = {}
@@ -85,3 +87,24 @@ def with_retries(action: Callable, transient: tuple[type[BaseException], ...], r
             if cause is None or k == retries:
                 raise
             time.sleep(delay * 2**k)
+
+
+class Progress:
+    """A file of what is done, replaced as a whole, so that a job that was stopped goes on where it was."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def load(self) -> dict:
+        """The last saved state; an empty one where there is none."""
+        store, at = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(at).type == fs.FileType.NotFound:
+            return {}
+        with store.open_input_stream(at) as f:
+            return json.loads(f.read())
+
+    def save(self, state: dict) -> None:
+        store, at = fs.FileSystem.from_uri(self.path)
+        with store.open_output_stream(f"{at}.tmp") as f:
+            f.write(json.dumps(state).encode())
+        store.move(f"{at}.tmp", at)

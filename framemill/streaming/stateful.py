@@ -26,10 +26,13 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def finished(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all that is available and read what it wrote; in update mode each trigger's rows are kept."""
+def finished(stream: DataFrame, mode: str = "append", name: str = "stream", base: str | None = None) -> DataFrame:
+    """Run a stream over all that is available and read what it wrote; in update mode each trigger's rows are kept.
+
+    ``base`` is the folder of the stream's state and output; given again, the stream goes on from where it was.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/framemill-{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/framemill-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").start(f"{base}/out")
