@@ -164,7 +164,7 @@ def image_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def box_suppression(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-20, MON-09: boxes left after suppression; the boxes are the vectors' numbers."""
+    """FLT-20: boxes left after suppression; the boxes are the vectors' numbers."""
     @F.pandas_udf("array<int>")
     def keep(rows: pd.Series) -> pd.Series:
         def one(x):

@@ -154,7 +154,7 @@ def scale_and_pad(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(n_chars), 4) AS mean_chars, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY source""")
 def dataset_frequency_share(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-17, MON-01, MON-03: the total is a second, one-row aggregate of the counts."""
+    """AGG-17, MON-03: the total is a second, one-row aggregate of the counts."""
     g = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
     total = g.agg(F.sum("n").alias("t"))
     return g.join(F.broadcast(total), how="cross").select("source", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), "mean_chars", "least", "most")

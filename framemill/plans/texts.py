@@ -140,7 +140,7 @@ def marker_renumber(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""SELECT episode_index, CAST((1 + (num_frames - 1) // 4) * (480 // 32) * (640 // 32) + 2 AS BIGINT) AS tokens, CAST((1 + (num_frames - 1) // 4) * ceil((470 // 16) / 2.0) * ceil((650 // 16) / 2.0) + 2 AS BIGINT) AS tokens_ceil,
   num_frames * 784 * 2 AS pixels, (num_frames * 1000 // 784) // 2 AS back FROM episodes WHERE num_frames > 0""")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    """STR-41, S15, CHT-07, MTH-20."""
+    """STR-41, S15, CHT-07."""
     n = F.col("num_frames")
     t = lambda h, w, f: C.vision_tokens(n, F.lit(h), F.lit(w), 16, 2, 4, f).cast("bigint")
     return table(spark, d, "episodes").where("num_frames > 0").select("episode_index", t(480, 640, True).alias("tokens"), t(470, 650, False).alias("tokens_ceil"), C.pixels_of_tokens(n).alias("pixels"), C.tokens_of_pixels(n * 1000).alias("back"))
