@@ -16,9 +16,9 @@ def connect(data_dir):
 
 
 def norm(v, side, inside=False):
-    """Text of a value: NaN is equal to none, zeros keep their sign, numbers in lists are exact, others have nine digits."""
+    """Text of a value: NaN is equal to none, numbers in lists are exact with the sign of their zeros, others have nine digits and one zero."""
     if isinstance(v, float):
-        return f"nan of {side}" if v != v else repr(v) if inside else f"{v:.9g}"
+        return f"nan of {side}" if v != v else repr(v) if inside else f"{v + 0.0:.9g}"
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(norm(x, side, True) for x in v) + "]"
     return str(v)
