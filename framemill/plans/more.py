@@ -156,10 +156,11 @@ def sequence_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def image_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-32: structural similarity of vectors laid out as small images, against themselves one place on."""
-    e = table(spark, d, "embeddings").where("size(embedding) >= 16").select("vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("a"))
-    b = F.concat(F.slice("a", 2, 15), F.slice("a", 1, 1))
-    return e.select("vec_id", statistics.ssim_column(2.0)("a", b, F.lit(4)).alias("ssim"))
+    """AGG-32: structural similarity of vectors laid out as square images, against themselves one place on; a vector is read up to its largest square."""
+    width = F.floor(F.sqrt(F.size("embedding"))).cast("int")
+    e = table(spark, d, "embeddings").where("size(embedding) >= 16").select("vec_id", width.alias("w"), F.slice("embedding", 1, width * width).cast("array<double>").alias("a"))
+    b = F.concat(F.slice("a", 2, F.size("a") - 1), F.slice("a", 1, 1))
+    return e.select("vec_id", statistics.ssim_column(2.0)("a", b, F.col("w")).alias("ssim"))
 
 
 @R.query()
